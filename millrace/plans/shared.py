@@ -1,8 +1,11 @@
 """Tables written to the folder that all executors share, to cut lineage or to read a result more than once."""
 
 import os
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +30,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def once(name: str, make: Callable[[], Any]) -> Any:
+    """What make() gives, made once a process: functions sent to workers lose their modules' state with every task."""
+    held = sys.__dict__.setdefault("_millrace", {})
+    if name not in held:
+        held[name] = make()
+    return held[name]

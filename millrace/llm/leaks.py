@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.lookalikes import form
+from millrace.plans.shared import written
 
 SHINGLE = 3  # words; with one word in eight changed, five-word shingles would leave too little in common
 BAND = 16  # how far (document place - item place) may wander within a passage, in words
@@ -67,8 +68,8 @@ class Items:
         self.words = [w for _, w in kept]
         self.least = least
         self.window = least - SHINGLE + 1
-        # "About one in eight": one more change than that in a shortest passage.
-        self.needed = max(1, self.window - SHINGLE * (int(np.ceil(least * changed)) + 1))
+        # Every changed word takes SHINGLE shingles from a window at most.
+        self.needed = max(1, self.window - SHINGLE * round(least * changed))
         per_item = [shingles(w) for w in self.words]
         flat = np.concatenate(per_item) if per_item else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(per_item)), [len(s) for s in per_item])
@@ -144,20 +145,20 @@ class Items:
         return p, self.item[j].astype(np.int64), self.place[j].astype(np.int64)
 
 
-def _scan(batch: pa.RecordBatch, ids: Ids) -> tuple[list, list[int], np.ndarray, np.ndarray]:
-    """Documents' ids, where each one's words begin, all words, and their shingles (0 where one would cross documents)."""
-    docs, starts, numbers = [], [0], []
-    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+def _scan(docs: list, texts: list, ids: Ids) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents' ids, where each one's words begin (and the end), all words, and their shingles (0 across documents)."""
+    kept, starts, numbers = [], [0], []
+    for doc, text in zip(docs, texts, strict=True):
         if text is None or doc is None:
             continue
         numbers += map(ids.__getitem__, words_of(text))
-        docs.append(doc)
+        kept.append(doc)
         starts.append(len(numbers))
     w = np.array(numbers, np.int64)
     h = shingles(w)
     for s in starts[1:-1]:
         h[max(0, s - SHINGLE + 1) : s] = 0
-    return docs, starts, w, h
+    return kept, np.array(starts), w, h
 
 
 def align(doc: np.ndarray, item: np.ndarray, stock: np.ndarray, least: int, changed: float) -> tuple[int, int, int, int] | None:
@@ -181,26 +182,25 @@ def align(doc: np.ndarray, item: np.ndarray, stock: np.ndarray, least: int, chan
     return best
 
 
-def _found(items: Items, docs: list, starts: list[int], w: np.ndarray, h: np.ndarray, changed: float) -> list[tuple]:
-    """(item, doc, words, same, item_start, doc_start) of one batch of documents."""
-    places, which = items.hits(h)
+def _found(items: Items, docs: list, starts: np.ndarray, w: np.ndarray, places: np.ndarray, which: np.ndarray, changed: float) -> list[tuple]:
+    """(item, doc, words, same, item_start, doc_start) of one batch of documents with their known shingles and places."""
     if not len(places):
         return []
-    begins = np.array(starts)
     n_items = len(items.ids)
+    doc_of = np.repeat(np.arange(len(docs)), np.diff(starts))
     # Prefix join: pairs that share a necessary shingle.
     p, i, _ = items.expand(places, which, True)
-    candidates = np.unique((np.searchsorted(begins, p, "right") - 1) * n_items + i)
-    if not len(candidates):
-        return []
-    # Positional bound: enough shared shingles within one window of the item and one band of places.
+    wanted = np.zeros(len(docs) * n_items, bool)
+    wanted[doc_of[p] * n_items + i] = True
+    # Positional bound: enough shared shingles, and then within one window of the item and one band of places.
     p, i, q = items.expand(places, which, False)
-    d = np.searchsorted(begins, p, "right") - 1
-    pair = d * n_items + i
-    k = np.minimum(np.searchsorted(candidates, pair), len(candidates) - 1)
-    keep = candidates[k] == pair
+    pair = doc_of[p] * n_items + i
+    wanted &= np.bincount(pair, minlength=len(wanted)) >= items.needed
+    keep = wanted[pair]
     p, q, pair = p[keep], q[keep], pair[keep]
-    diagonal = p - begins[pair // n_items] - q + 4096 * 4096
+    if not len(p):
+        return []
+    diagonal = p - starts[pair // n_items] - q + 4096 * 4096
     passed: dict[int, list[int]] = {}
     for shift in (0, BAND // 2):
         band = (diagonal + shift) // BAND
@@ -209,7 +209,7 @@ def _found(items: Items, docs: list, starts: list[int], w: np.ndarray, h: np.nda
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
         a, b, c, at = a[new], b[new], c[new], at[new]
-        group = np.cumsum(np.concatenate([[0], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
+        group = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
         key = group * (1 << 32) + c
         enough = np.searchsorted(key, key + items.window, "left") - np.arange(len(key)) >= items.needed
         for x in np.unique(group[enough]):
@@ -219,7 +219,7 @@ def _found(items: Items, docs: list, starts: list[int], w: np.ndarray, h: np.nda
     for pair_id, reach in passed.items():
         d, i = divmod(pair_id, n_items)
         item = items.words[i]
-        lo, hi = starts[d], starts[d + 1]
+        lo, hi = int(starts[d]), int(starts[d + 1])
         best = None
         # Stretches of the document that hold the hits, far ones apart.
         reach = sorted(zip(reach[::2], reach[1::2], strict=True))
@@ -262,11 +262,11 @@ def leaked(
     after look-alike characters, case, typography and markup are evened out. Passages that are mostly stock (five-word
     runs that at least stock_items items share) don't count, nor do items shorter than ``least`` words or null texts.
 
-    The items are the query set: they are taken in blocks of block_words words, each broadcast to two scans of the
-    corpus, so nothing that grows with the corpus is broadcast, collected or shuffled, and no document or word is hot.
-    The first scan counts, over all documents, how many hold each shingle of the block; by that rarity order the
-    necessary prefix of every item-sized window is chosen. The second joins documents on prefix shingles, bounds pairs by
-    the shingles shared within a window and a band of positions, and aligns what is left word by word.
+    The items are the query set: they are taken in blocks of block_words words, each broadcast to a scan of the corpus, so
+    nothing that grows with the corpus is broadcast, collected or shuffled, and no document or word is hot. The scan counts,
+    over all documents, how many hold each shingle of the block, and writes the documents that hold enough of them as
+    numbers. By that rarity order the necessary prefix of every item-sized window is chosen. Then documents are joined on
+    prefix shingles, pairs bounded by the shingles shared within a window and a band of positions, and the rest aligned.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -282,34 +282,58 @@ def leaked(
 def _block(spark: SparkSession, source: DataFrame, items: Items, changed: float) -> DataFrame:
     # Plain arrays: workers need not have this package to read a broadcast.
     shared = spark.sparkContext.broadcast(vars(items))
+    schema = pa.schema([("doc", pa.int64()), ("words", pa.binary()), ("places", pa.binary()), ("which", pa.binary())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids = Items.of(shared.value), Ids()
         total = np.zeros(len(block.known), np.int64)
         for b in batches:
-            _, starts, _, h = _scan(b, ids)
+            docs, starts, w, h = _scan(b.column(0).to_pylist(), b.column(1).to_pylist(), ids)
             places, which = block.hits(h)
-            if len(places):
-                d = np.searchsorted(np.array(starts), places, "right") - 1
-                total += np.bincount(np.unique(d * len(total) + which) % len(total), minlength=len(total))
+            if not len(places):
+                continue
+            d = np.repeat(np.arange(len(docs)), np.diff(starts))[places]
+            total += np.bincount(np.unique(d * len(total) + which) % len(total), minlength=len(total))
+            # A document with fewer known shingles than a passage needs holds none.
+            ends = np.searchsorted(d, np.arange(len(docs) + 1), "left")
+            rows = [
+                (docs[k], w[starts[k] : starts[k + 1]].astype(np.uint32).tobytes(), (places[lo:hi] - starts[k]).astype(np.uint32).tobytes(), which[lo:hi].astype(np.uint32).tobytes())
+                for k, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True))
+                if hi - lo >= block.needed
+            ]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        # The share's counts, in a row without document.
         seen = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["shingle", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([b""]), pa.array([total[seen].astype(np.uint32).tobytes()]), pa.array([seen.astype(np.uint32).tobytes()])], schema=schema)
 
-    counts = source.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    frequency = np.zeros(len(items.known), np.int64)
+    scanned = written(source.mapInArrow(scan, "doc long, words binary, places binary, which binary"), "leak-hits")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, which in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(which, np.uint32).astype(np.int64)), pa.array(np.frombuffer(n, np.uint32).astype(np.int64))], names=["shingle", "n"])
+
+    counts = scanned.where("doc is null").select("places", "which").mapInArrow(summed, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     # At most one row a shingle of the block.
+    frequency = np.zeros(len(items.known), np.int64)
     got = counts.toPandas()
     frequency[got["shingle"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     items.choose(frequency)
     ready = spark.sparkContext.broadcast(vars(items))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids = Items.of(ready.value), Ids()
+        block = Items.of(ready.value)
         names = ["item_id", "doc_id", "words", "same", "item_start", "doc_start"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
         for b in batches:
-            rows = _found(block, *_scan(b, ids), changed)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    return source.mapInArrow(join, "item_id long, doc_id long, words int, same int, item_start int, doc_start int")
+            for lo in range(0, b.num_rows, 1_000):
+                part = b.slice(lo, 1_000)
+                w, places, which = ([np.frombuffer(x, np.uint32).astype(np.int64) for x in part.column(k).to_pylist()] for k in (1, 2, 3))
+                starts = np.concatenate([[0], np.cumsum([len(x) for x in w])])
+                at = np.concatenate([x + s for x, s in zip(places, starts[:-1], strict=True)])
+                rows = _found(block, part.column(0).to_pylist(), starts, np.concatenate(w), at, np.concatenate(which), changed)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return scanned.where("doc is not null").mapInArrow(join, "item_id long, doc_id long, words int, same int, item_start int, doc_start int")

@@ -1,8 +1,12 @@
 """Texts that look the same in different characters: one form for comparison, classes, and their canonical members."""
 
+import re
 import unicodedata
+from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,55 +77,59 @@ def _bare() -> dict[str, str]:
     return out
 
 
-def _translated(text: Column, single: dict[str, str], several: dict[str, str]) -> Column:
-    # translate() drops the characters that have no counterpart, so those come last.
-    pairs = sorted(single.items(), key=lambda p: p[1] == "")
-    done = F.translate(text, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
-    if not several:
-        return done
-    wide = done
-    for a, b in several.items():
-        wide = F.replace(wide, F.lit(a), F.lit(b))
-    return F.when(done.rlike("[" + "".join(several) + "]"), wide).otherwise(done)
+def form(text: str) -> str:
+    """The text in the form for comparison: mapped by ``tables``, with composed accents."""
+    if text.isascii():
+        return text.replace("\t", " ")
+    # Most texts hold no character that changes, which a search finds out faster than a translation.
+    if not once("look-alike search", _changing)(text):
+        return text
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).translate(once("look-alike ordinals", _ordinals)))
 
 
-def _plain(text: Column) -> Column:
-    return ~text.rlike(r"[^\x00-\x08\x0A-\x7F]")
+def _ordinals() -> dict[int, str]:
+    single, several = tables()
+    return {ord(c): to for c, to in {**single, **several}.items()}
 
 
-def one_form(text: Column) -> Column:
-    """The text in the form for comparison. Canonical variants of accents stay; the collation makes them equal."""
-    return F.when(_plain(text), text).otherwise(_translated(text, *tables()))
+def _changing() -> Callable[[str], re.Match | None]:
+    """Searches for a character of the tables, or one that composition may change."""
+    single, several = tables()
+    return re.compile("[" + "".join(map(re.escape, {*single, *several})) + "\u0300-\u036f\u2126\u212a\u212b\u1100-\u11ff\u3099\u309a]").search
 
 
-def key_of(text: Column) -> Column:
-    """A 64-bit key that texts which look the same share: of the form for comparison without accents."""
-    single, several = tables()
-    # One pass: what a character becomes, and that without accents.
+def _accented() -> tuple[Callable[[str], re.Match | None], dict[int, str]]:
     letters = _bare()
-    bare = {**letters, **{c: letters.get(to, to) for c, to in single.items()}}
-    return F.xxhash64(F.when(_plain(text), text).otherwise(_translated(text, bare, several)))
+    return re.compile("[" + "".join(map(re.escape, letters)) + "]").search, {ord(c): to for c, to in letters.items()}
 
 
-def form(text: str) -> str:
-    """As one_form, with composed accents: for use within Python."""
-    if text.isascii():
-        return text.replace("\t", " ")
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).translate(once("look-alike ordinals", _ordinals)))
+def key_of(text: str) -> bytes:
+    """A digest that texts which look the same share: of the form for comparison without accents."""
+    search, letters = once("look-alike accents", _accented)
+    plain = form(text)
+    return md5(plain.translate(letters).encode("utf-8", "surrogatepass") if search(plain) else plain.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
 
 
-def _ordinals() -> dict[int, str]:
-    single, several = tables()
-    return {ord(c): to for c, to in {**single, **several}.items()}
+def one_form(text: Column) -> Column:
+    """The form for comparison of a column of texts; null stays null."""
+
+    def mapped(texts: pd.Series) -> pd.Series:
+        return texts.map(form, na_action="ignore")
+
+    return F.pandas_udf(mapped, "string")(text)
 
 
-def composed(text: Column) -> Column:
-    """Canonical order and composition of accents (NFC)."""
+def digests(source: DataFrame) -> DataFrame:
+    """(doc, exact, key) of (doc, text): 128-bit digests of the text itself and of its key."""
+    kind = dict(source.dtypes)["doc"]
 
-    def nfc(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            exact = [md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(exact, pa.binary()), pa.array([key_of(t) for t in texts], pa.binary())], names=["doc", "exact", "key"])
 
-    return F.pandas_udf(nfc, "string")(text)
+    return source.mapInArrow(run, f"doc {kind}, exact binary, key binary")
 
 
 def classes(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -135,12 +143,12 @@ def classes(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> tupl
     Documents with null text or id have no class. Empty texts are one class, with those of invisible characters.
     """
     source = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    members = written(source.select("doc", F.md5("text").alias("exact"), key_of(F.col("text")).alias("key")), "lookalike-members")
+    members = written(digests(source), "lookalike-members")
     texts = members.groupBy("key", "exact").agg(F.min("doc").alias("rep"))
     shared = texts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     chosen = texts.join(shared, "key")
-    mapped = chosen.join(source, F.col("rep") == F.col("doc")).select("key", "exact", "rep", F.collate(composed(one_form(F.col("text"))), "UNICODE").alias("form")).dropDuplicates(["rep"])
-    mapped = written(mapped.select("key", "exact", "rep", F.col("form").cast("string").alias("form")), "lookalike-forms").withColumn("form", F.collate("form", "UNICODE"))
+    mapped = chosen.join(source, F.col("rep") == F.col("doc")).select("key", "exact", "rep", one_form(F.col("text")).alias("form")).dropDuplicates(["rep"])
+    mapped = written(mapped, "lookalike-forms").withColumn("form", F.collate("form", "UNICODE"))
     grouped = mapped.groupBy("key", "form").agg(F.min("rep").alias("class_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     found = mapped.alias("m").join(grouped.alias("g"), (F.col("m.key") == F.col("g.key")) & (F.col("m.form") == F.col("g.form"))).select("class_id", "m.exact", "m.key", "m.rep")
     return members, written(found, "lookalike-texts")

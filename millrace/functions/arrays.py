@@ -1,5 +1,7 @@
 """Waveforms as arrays of numbers: resampling, scaling, differences, moving means, error measures, guarded correlation."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,10 +49,19 @@ def mean(a: Column) -> Column:
     return F.when(F.size(a) > 0, total(a) / F.size(a))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row, not once an element where it is used within a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def std(a: Column) -> Column:
     """Population standard deviation."""
-    m = mean(a)
-    return F.when(F.size(a) > 0, F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x.cast("double") - m) * (x.cast("double") - m)) / F.size(a)))
+    return let(mean(a), lambda m: F.when(F.size(a) > 0, F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x.cast("double") - m) * (x.cast("double") - m)) / F.size(a))))
+
+
+def covariance(a: Column, b: Column) -> Column:
+    """Population covariance."""
+    return let(F.struct(mean(a).alias("a"), mean(b).alias("b")), lambda m: mean(F.zip_with(a, b, lambda x, y: (x.cast("double") - m["a"]) * (y.cast("double") - m["b"]))))
 
 
 def differences(a: Column) -> Column:
@@ -90,19 +101,16 @@ def rmse(a: Column, b: Column) -> Column:
 
 def safe_correlation(a: Column, b: Column) -> Column:
     """Pearson's; 0 for fewer than two values or where either hardly varies (population deviation under 1e-8)."""
-    ma, mb = mean(a), mean(b)
-    cov = mean(F.zip_with(a, b, lambda x, y: (x.cast("double") - ma) * (y.cast("double") - mb)))
-    flat = (F.size(a) < 2) | (std(a) < 1e-8) | (std(b) < 1e-8)
-    return F.when(flat, F.lit(0.0)).otherwise(F.try_divide(cov, std(a) * std(b)))
+    spread = F.struct(F.size(a).alias("n"), std(a).alias("a"), std(b).alias("b"), covariance(a, b).alias("c"))
+    return let(spread, lambda s: F.when((s["n"] < 2) | (s["a"] < 1e-8) | (s["b"] < 1e-8), F.lit(0.0)).otherwise(F.try_divide(s["c"], s["a"] * s["b"])))
 
 
 def composite_loss(p: Column, t: Column, l1: float, derivative: float, correlation: float) -> Column:
     """Squared error + l1 * absolute error + derivative * squared error of differences + correlation * (1 - r), r with small constants."""
-    mp, mt = mean(p), mean(t)
-    num = mean(F.zip_with(p, t, lambda x, y: (x.cast("double") - mp) * (y.cast("double") - mt)))
-    vp, vt = std(p) * std(p) + 1e-8, std(t) * std(t) + 1e-8
-    r = num / (F.sqrt(vp * vt) + 1e-8)
-    return mse(p, t) + l1 * mae(p, t) + derivative * mse(differences(p), differences(t)) + correlation * (1 - r)
+    spread = F.struct((std(p) * std(p) + 1e-8).alias("p"), (std(t) * std(t) + 1e-8).alias("t"), covariance(p, t).alias("c"))
+    r = let(spread, lambda s: s["c"] / (F.sqrt(s["p"] * s["t"]) + 1e-8))
+    steps = let(F.struct(differences(p).alias("p"), differences(t).alias("t")), lambda d: mse(d["p"], d["t"]))
+    return mse(p, t) + l1 * mae(p, t) + derivative * steps + correlation * (1 - r)
 
 
 def augmented(a: Column, seed: int, amplitude: float = 0.1, offset: float = 0.05, noise: float = 0.01) -> Column:

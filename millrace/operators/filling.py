@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.readings import batch_names, instant, measured, named
-from millrace.plans.shards import along, pack
+from millrace.plans.shards import ROWS_PER_SHARD, along, pack
 from millrace.plans.shared import written
 
 
@@ -57,6 +57,7 @@ def fill_missing(
     row: str = "reading_id",
     batch: str = "batch_id",
     gap_minutes: float = 180,
+    rows_per_shard: int = ROWS_PER_SHARD,
 ) -> DataFrame:
     """(row, field, value, text, method, distance_s): a row for every value that is missing and can be filled.
 
@@ -99,7 +100,7 @@ def fill_missing(
         timed = timed.withColumn(f"__want_{f}", (F.col(f"__want_{f}") & F.col(f"__v_{f}").isNull()).cast("long"))
     # Categories travel as 64-bit codes, shown as doubles' bit patterns would be; 0 stands for missing.
     timed = timed.select("name", "at", "rid", *fields, *[f"__want_{f}" for f in numeric], *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in cats])
-    shards = written(pack(timed, "name", "at", ["rid"], ["rid", "at", *fields, *[f"__want_{f}" for f in numeric], *cats]), "filling-shards")
+    shards = written(pack(timed, "name", "at", ["rid"], ["rid", "at", *fields, *[f"__want_{f}" for f in numeric], *cats], rows_per_shard), "filling-shards")
     full = _carried(shards, "name", fields)
     if cats:
         full = _carried_codes(full, "name", cats)

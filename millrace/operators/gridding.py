@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.filling import _carried
 from millrace.operators.readings import instant, measured, named
-from millrace.plans.shards import along, pack
+from millrace.plans.shards import ROWS_PER_SHARD, along, pack
 from millrace.plans.shared import written
 
 BLOCK = 65_536  # slots put out at once, so that a long gap needs no memory
@@ -24,6 +24,7 @@ def regular(
     row: str = "reading_id",
     step_s: int = 300,
     fill_gap_s: int = 3600,
+    rows_per_shard: int = ROWS_PER_SHARD,
 ) -> DataFrame:
     """(device, slot_epoch, n_readings, then for each field f: f, f_state): one row per device and slot.
 
@@ -41,7 +42,7 @@ def regular(
     usable = df.select(named(device).alias("name"), instant(time).alias("at"), F.col(row).cast("long").alias("rid"), *[measured(F.col(f).cast("double")).alias(f"__v_{f}") for f in fields])
     usable = usable.where("name is not null and at is not null").withColumn("slot", slot)
     values = [f"__v_{f}" for f in fields]
-    shards = written(pack(usable, "name", "slot", ["at", *values, "rid"], ["at", "slot", *values]), "grid-shards")
+    shards = written(pack(usable, "name", "slot", ["at", *values, "rid"], ["at", "slot", *values], rows_per_shard), "grid-shards")
     carried = _carried(shards, "name", values)
     next_slot = shards.select("name", "first", "last", F.lead("first").over(along("name")).alias("next_slot"))
     full = carried.join(next_slot, ["name", "first", "last"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.readings import instant, with_device
-from millrace.plans.shards import along, pack
+from millrace.plans.shards import ROWS_PER_SHARD, along, pack
 from millrace.plans.shared import written
 
 HALF = 5  # readings on each side in the rolling median
@@ -211,6 +211,7 @@ def implausible(
     usual: float = 2.5,
     stuck_readings: int = 12,
     stuck_minutes: float = 90,
+    rows_per_shard: int = ROWS_PER_SHARD,
 ) -> DataFrame:
     """(row, field, value, reason, score): the readings that cannot be right, per source and against its own habits.
 
@@ -228,7 +229,7 @@ def implausible(
     """
     idle = idle or {}
     series = long_form(df, fields, device, time, row, batch)
-    shards = written(pack(series, "series", "at", ["v", "rid"], ["rid", "at", "v"]), "spikes-shards")
+    shards = written(pack(series, "series", "at", ["v", "rid"], ["rid", "at", "v"], rows_per_shard), "spikes-shards")
     at_border = written(borders(_summaries(shards)), "spikes-borders")
     keys = ["series", "first", "last"]
     full = shards.join(at_border, keys)

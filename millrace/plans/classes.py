@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import multilabel as ml
 from millrace.operators import ontology as onto
+from millrace.operators import regression
 from millrace.plans.catalogue import Catalogue
 from millrace.plans.tables import table
 
@@ -107,3 +108,14 @@ def ml_wide_long(spark, d):
     wide = ml.to_wide(long, ["item"], ["A", "N", "R"])
     back = ml.to_long(wide, ["item"], ["A", "N", "R"], "cls", "label")
     return ml.to_wide(back, ["item"], ["A", "N", "R"])
+
+
+@C.add()
+def ml_ovr_gbt(spark, d):
+    """Whether a line item was returned or accepted, from its numbers: every fiftieth order is held out."""
+    from pyspark.ml.feature import VectorAssembler
+
+    li = table(spark, d, "lineitem").withColumn("item", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    rows = li.withColumns({f"is_{c}": (F.col("l_returnflag") == c).cast("int") for c in ("A", "R")})
+    rows = VectorAssembler(inputCols=["l_quantity", "l_extendedprice", "l_discount", "l_tax"], outputCol="features").transform(rows)
+    return regression.boosted_classes(rows.where("l_orderkey % 50 <> 0"), rows.where("l_orderkey % 50 = 0"), ["is_A", "is_R"], item="item", trees=5, depth=3)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.nulls import drop_nulls, nan_to_null
+from millrace.operators import regression
 from millrace.operators import timeseries as ts
 from millrace.operators.quantiles import nearest_quantile
 from millrace.plans.catalogue import Catalogue
@@ -187,3 +188,30 @@ def ts_describe(spark, d):
     return table(spark, d, "device_data").agg(
         F.count("*").alias("n"), F.count_if(x.isNull()).alias("n_null"), F.count_if(F.isnan(x)).alias("n_nan"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("std"), F.min(v).alias("low"), F.max(v).alias("high")
     )
+
+
+def _featured(spark, d):
+    """Readings with differences, calendar and features, rows with all sensors only."""
+    df = ts.differences(ts.non_negative(readings(spark, d), "x2"), "deviceId", "ts", "reading_id", ["t4", "t8"])
+    df = drop_nulls(ts.calendar(df.where("ts is not null and deviceId is not null"), "ts"), SENSORS)
+    return df.withColumn("x", regression.features(df))
+
+
+@C.add()
+def ts_two_stage_predict(spark, d):
+    df = _featured(spark, d)
+    return regression.predict_monthly(df.where("period = 'train' and x2 is not null"), df.where("period in ('valid', 'test')"), key="deviceId", row="reading_id", target="x2")
+
+
+@C.add()
+def ts_holdout_model(spark, d):
+    df = _featured(spark, d).where("period = 'train' and x2 is not null")
+    late = F.dayofmonth("ts") >= 4
+    return regression.holdout(df.where(~late), df.where(late), key="deviceId", row="reading_id", target="x2")
+
+
+@C.add()
+def ts_seasonal_split(spark, d):
+    df = _featured(spark, d).where("period = 'train' and x2 is not null")
+    late = F.dayofmonth("ts") >= 4
+    return regression.seasonal(df.where(~late), df.where(late), key="deviceId", row="reading_id", target="x2", months=[1], deviation=0.03)

@@ -58,10 +58,8 @@ def embedded(df: DataFrame, text: str, make: Callable[[], Embedder] | None, name
         embed = make()
         for texts in batches:
             known = texts.notna().to_numpy()
-            out = pd.Series([None] * len(texts), dtype=object)
-            if known.any():
-                out[known] = list(np.asarray(embed(texts[known].tolist()), np.float32).tolist())
-            yield out
+            vectors = iter(np.asarray(embed(texts[known].tolist()), np.float32).tolist() if known.any() else [])
+            yield pd.Series([next(vectors) if k else None for k in known], dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return df.withColumn(name, F.pandas_udf(run, "array<float>")(F.col(text)))

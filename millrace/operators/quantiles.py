@@ -20,7 +20,9 @@ def nearest_quantile(df: DataFrame, by: list[str], value: str, q: float, name: s
     keys = [F.col(c) for c in by]
     shares = F.array(F.lit(max(0.0, q - BRACKET)), F.lit(min(1.0, q + BRACKET)))
     bounds = rows.groupBy(*keys).agg(F.count("__v").alias("__n"), F.percentile_approx("__v", shares, F.lit(ACCURACY)).alias("__b"))
-    bounds = bounds.select(*by, "__n", F.get("__b", F.lit(0)).alias("__lo"), F.get("__b", F.lit(1)).alias("__hi"))
+    # Small groups are ranked whole: there the bracket is narrower than the differences between definitions of a rank.
+    wide = F.col("__n") * BRACKET >= 5
+    bounds = bounds.select(*by, "__n", F.when(wide, F.get("__b", F.lit(0))).alias("__lo"), F.when(wide, F.get("__b", F.lit(1))).alias("__hi"))
     if q - BRACKET <= 0:
         bounds = bounds.withColumn("__lo", F.lit(None).cast("double"))
     if q + BRACKET >= 1:

@@ -28,7 +28,7 @@ _PYTHON = {
     "test": "unary ( binary unary )*",
     "binary": "'+' | '-' | '*' | '/' | '//' | '%' | '@' | '**' | '<<' | '>>' | '&' | '|' | '^' | '<' | '>' | '==' | '>=' | '<=' | '!=' | 'in' | 'not' 'in' | 'is' 'not'? | 'and' | 'or'",
     "unary": "( 'not' | '-' | '+' | '~' | 'await' )* atom trailer*",
-    "atom": "NAME | NUM | STR+ | '...' | 'None' | 'True' | 'False' | '(' ( yield | star comp? | star ( ',' star )* ','? )? ')' | '[' ( star comp? | star ( ',' star )* ','? )? ']' | '{' ( pair comp? | pair ( ',' pair )* ','? | star comp? | star ( ',' star )* ','? )? '}'",
+    "atom": "NAME | NUM | STR+ | BYTES+ | '...' | 'None' | 'True' | 'False' | '(' ( yield | star comp? | star ( ',' star )* ','? )? ')' | '[' ( star comp? | star ( ',' star )* ','? )? ']' | '{' ( pair comp? | pair ( ',' pair )* ','? | star comp? | star ( ',' star )* ','? )? '}'",
     "pair": "expr ':' expr | '**' expr",
     "comp": "( 'async'? 'for' targets 'in' test ( 'if' ctest )* )+",
     "ctest": "( NAME ':=' )? ( test | 'lambda' lparams? ':' ctest )",
@@ -57,9 +57,9 @@ _PYTHON = {
     "match": "'match' exprs ':' NEWLINE INDENT ( 'case' patterns ( 'if' named )? ':' block )+ DEDENT",
     "patterns": "pattern ( ',' pattern )* ','?",
     "pattern": "'*' NAME | closed ( '|' closed )* ( 'as' NAME )?",
-    "closed": "'-'? NUM ( ( '+' | '-' ) NUM )? | STR+ | 'None' | 'True' | 'False' | dotted ( '(' ( cpat ( ',' cpat )* ','? )? ')' )? | '(' patterns? ')' | '[' patterns? ']' | '{' ( mpat ( ',' mpat )* ','? )? '}'",
+    "closed": "'-'? NUM ( ( '+' | '-' ) NUM )? | STR+ | BYTES+ | 'None' | 'True' | 'False' | dotted ( '(' ( cpat ( ',' cpat )* ','? )? ')' )? | '(' patterns? ')' | '[' patterns? ']' | '{' ( mpat ( ',' mpat )* ','? )? '}'",
     "cpat": "( NAME '=' )? pattern",
-    "mpat": "( '-'? NUM | STR+ | 'None' | 'True' | 'False' | dotted ) ':' pattern | '**' NAME",
+    "mpat": "( '-'? NUM | STR+ | BYTES+ | 'None' | 'True' | 'False' | dotted ) ':' pattern | '**' NAME",
 }
 
 _JAVASCRIPT = {

@@ -94,7 +94,8 @@ def python(text: str) -> tuple[list[str], list[bool]] | None:
             t = m.group()
             tokens.append(t if t in words else "NAME")
         elif kind == "string":
-            tokens.append("STR")
+            t = m.group()
+            tokens.append("BYTES" if "b" in t[: min(t.find('"') % len(t), t.find("'") % len(t))].lower() else "STR")
         elif kind == "number":
             t = m.group()
             if len(t) > 1 and t[0] == "0" and t.replace("_", "").isdigit() and t.strip("0_"):

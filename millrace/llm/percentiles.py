@@ -9,9 +9,12 @@ from millrace.plans.shared import written
 
 
 def bucketed(value: Column, relative_error: float) -> Column:
-    """The value rounded to the middle of a geometric bucket, so that it is off by at most relative_error of itself."""
+    """The value as its geometric bucket's representative, which is off by at most relative_error of it.
+
+    Buckets reach from a to a * (1 + e) / (1 - e), and a * (1 + e) stands for them.
+    """
     base = math.log1p(2 * relative_error / (1 - relative_error))
-    middle = F.exp((F.floor(F.log(F.abs(value)) / base) + 0.5) * base)
+    middle = F.exp(F.floor(F.log(F.abs(value)) / base) * base) * (1 + relative_error)
     return F.when(value == 0, F.lit(0.0)).otherwise(F.signum(value) * middle)
 
 

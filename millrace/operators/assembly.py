@@ -43,39 +43,48 @@ def budget_class(source: Column) -> Column:
     return F.when(source.isin([s for s in BUDGETS if s != "other"]), source).otherwise(F.lit("other"))
 
 
-def within_budget(items: DataFrame, by: list[str], order: list[Column], text: str, limit: Column, cuttable: Column, least: int = 100) -> DataFrame:
-    """The items that fit, per group and in order, with ``tokens``; an item that doesn't fit is skipped, and later ones may fit.
+def within_budget(items: DataFrame, by: list[str], order: list[str], text: str, limit: Column, cuttable: Column, least: int = 100) -> DataFrame:
+    """The items that fit, per group and in ascending order, with ``tokens``; an item that doesn't fit is skipped, later ones may fit.
 
-    A cuttable item that doesn't fit is cut to what is left, if more than ``least`` tokens are. Not a running sum: a fold
-    over the group's items, of which only sizes are gathered; a group is one task's candidates, bounded by the stages'
-    limits. by must not be empty; order must be total.
+    A cuttable item that doesn't fit is cut to what is left, if more than ``least`` tokens are. limit and cuttable are the
+    same for all rows of a group; order must be total. Items of no tokens always fit.
+
+    Not a running sum but a fold over a group's sizes. It needs only the first limit / t + 1 items of t tokens (and the first
+    that exceeds the limit): of one size, none fits after one that didn't. So a group's fold holds about limit * ln(limit)
+    sizes at most, however many items the group has.
     """
-    ranked = items.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).withColumn("__t", token_estimate(F.col(text)))
-    sizes = ranked.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("__r").alias("r"), F.col("__t").alias("t"), cuttable.alias("c")))).alias("all"), F.max(limit).cast("int").alias("limit"))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<r:int,t:int,cut:boolean>>").alias("kept"))
+    rows = items.withColumn("__t", token_estimate(F.col(text))).withColumn("__limit", limit.cast("int")).withColumn("__c", cuttable).withColumn("__o", F.struct(*order))
+    size = F.least("__t", F.col("__limit") + 1)
+    place = F.row_number().over(Window.partitionBy(*by, size).orderBy("__o"))
+    few = rows.where("__t > 0").withColumn("__n", place).where(F.col("__n") <= F.when(size > F.col("__limit"), 1).otherwise(F.floor(F.col("__limit") / size) + 1))
+    sizes = few.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("__o").alias("o"), F.col("__t").alias("t")))).alias("all"), F.max("__limit").alias("limit"), F.max("__c").alias("c"))
+    empty = F.expr("transform(slice(all, 1, 0), x -> named_struct('o', x.o, 't', x.t, 'cut', false))")
+    start = F.struct(F.lit(0).alias("used"), empty.alias("kept"))
 
     def step(s: Column, x: Column) -> Column:
         left = F.col("limit") - s["used"]
         fits = x["t"] <= left
-        cut = ~fits & x["c"] & (left > least)
+        cut = ~fits & F.col("c") & (left > least)
         take = F.when(fits, x["t"]).when(cut, left).otherwise(F.lit(0)).cast("int")
-        entry = F.array(F.struct(x["r"].alias("r"), take.alias("t"), cut.alias("cut")))
+        entry = F.array(F.struct(x["o"].alias("o"), take.alias("t"), cut.alias("cut")))
         return F.struct((s["used"] + take).alias("used"), F.when(fits | cut, F.concat(s["kept"], entry)).otherwise(s["kept"]).alias("kept"))
 
     kept = sizes.select(*by, F.inline(F.aggregate("all", start, step)["kept"]))
     renamed = kept.withColumnsRenamed({c: f"__k_{c}" for c in by})
-    same = F.col("__r") == F.col("r")
+    same = F.col("__o") == F.col("o")
     for c in by:
         same &= F.col(c) == F.col(f"__k_{c}")
-    out = ranked.join(renamed, same).withColumn(text, F.when(F.col("cut"), truncated(F.col(text), F.col("t"))).otherwise(F.col(text)))
-    return out.withColumn("tokens", F.col("t")).drop("__r", "__t", "r", "t", "cut", *[f"__k_{c}" for c in by])
+    extra = ["__t", "__limit", "__c", "__o"]
+    out = rows.join(renamed, same).withColumn(text, F.when(F.col("cut"), truncated(F.col(text), F.col("t"))).otherwise(F.col(text)))
+    out = out.withColumn("tokens", F.col("t")).drop(*extra, "o", "t", "cut", *[f"__k_{c}" for c in by])
+    return out.unionByName(rows.where("__t = 0").withColumn("tokens", F.lit(0)).drop(*extra))
 
 
 def budgeted(items: DataFrame, max_tokens: int = 8_000) -> DataFrame:
     """Items (task, id, source, score, pos, text) under the budgets of their sources, taken in ascending score."""
     kind = budget_class(F.col("source"))
     limit = F.coalesce(*[F.when(F.col("budget") == k, F.lit(int(max_tokens * share))) for k, share in BUDGETS.items()])
-    return within_budget(items.withColumn("budget", kind), ["task", "budget"], [F.col("score"), F.col("stage"), F.col("pos"), F.col("id")], "text", limit, F.col("budget") != "other")
+    return within_budget(items.withColumn("budget", kind), ["task", "budget"], ["score", "stage", "pos", "id"], "text", limit, F.col("budget") != "other")
 
 
 def rendered(items: DataFrame, key: str = "task") -> DataFrame:

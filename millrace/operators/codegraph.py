@@ -125,18 +125,14 @@ def adjacent(entities: DataFrame, seeds: DataFrame, lines: int = 50, file: str =
     return near.select("seed", key)
 
 
-def uncovered(items: DataFrame, group: list[str], order: str, start: str, end: str, keep: list[str]) -> DataFrame:
-    """The items whose range lies in no range of an earlier item (by ``order``) of their group.
+def uncovered(items: DataFrame, group: list[str], start: str, end: str, tie: str) -> DataFrame:
+    """The items whose range lies in no other range of their group; of equal ranges the first by tie stays.
 
-    Within a group in order of start, an item is covered by one that starts no later and ends no sooner; as what covers
-    is covered itself only by something that covers both, comparing with all earlier items equals comparing with kept ones.
+    In the order of start, then of end from the far one, an item is covered exactly if an earlier one ends no sooner: one
+    running maximum, no pairs.
     """
-    a = items.select(*group, F.col(order).alias("__o"), F.col(start).alias("__s"), F.col(end).alias("__e"))
-    same = F.lit(True)
-    for g in group:
-        same &= F.col(f"i.{g}") == F.col(f"a.{g}")
-    covered = items.alias("i").join(a.alias("a"), same & (F.col("a.__o") < F.col(f"i.{order}")) & (F.col("a.__s") <= F.col(f"i.{start}")) & (F.col(f"i.{end}") <= F.col("a.__e")), "left_anti")
-    return covered.select(*[F.col(f"i.{c}") for c in keep])
+    w = Window.partitionBy(*group).orderBy(F.col(start), F.col(end).desc(), F.col(tie)).rowsBetween(Window.unboundedPreceding, -1)
+    return items.withColumn("__reach", F.max(end).over(w)).where(F.col("__reach").isNull() | (F.col("__reach") < F.col(end))).drop("__reach")
 
 
 def row_number(by: list[str], order: list[Column]) -> Column:

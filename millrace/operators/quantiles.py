@@ -1,46 +1,58 @@
 """Exact order statistics per group, without gathering a group."""
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BRACKET = 0.01  # share of a group's rows left on each side of a rank after the first pass
 ACCURACY = 1_000  # of the sketch: its rank error is at most one in ACCURACY, well within the bracket
 
 
-def nearest_quantile(df: DataFrame, by: list[str], value: str, q: float, name: str) -> DataFrame:
-    """(by, name): per group the value at the 0-based place floor((n - 1) * q + 0.5) of its n non-null values in order.
-
-    Groups without values give null. NaN counts as the largest value. Null keys form one group. With no ``by``, one row.
+def _at_places(df: DataFrame, by: list[str], value: str, q: float, places: list[Callable[[Column], Column]]) -> DataFrame:
+    """(by, v0, v1, ...): per group the values at 0-based places, all within two of q * n, of its n non-null values in order.
 
     Two passes: a mergeable sketch brackets the rank; then only the values inside the bracket, about BRACKET of a
     group on each side, are counted and ranked, with a count of those below. So a hot group's window is small.
     """
-    v = F.col(value)
-    rows = df.select(*by, v.alias("__v"))
+    rows = df.select(*by, F.col(value).alias("__v"))
     keys = [F.col(c) for c in by]
     shares = F.array(F.lit(max(0.0, q - BRACKET)), F.lit(min(1.0, q + BRACKET)))
     bounds = rows.groupBy(*keys).agg(F.count("__v").alias("__n"), F.percentile_approx("__v", shares, F.lit(ACCURACY)).alias("__b"))
     # Small groups are ranked whole: there the bracket is narrower than the differences between definitions of a rank.
     wide = F.col("__n") * BRACKET >= 5
-    bounds = bounds.select(*by, "__n", F.when(wide, F.get("__b", F.lit(0))).alias("__lo"), F.when(wide, F.get("__b", F.lit(1))).alias("__hi"))
-    if q - BRACKET <= 0:
-        bounds = bounds.withColumn("__lo", F.lit(None).cast("double"))
-    if q + BRACKET >= 1:
-        bounds = bounds.withColumn("__hi", F.lit(None).cast("double"))
+    lo = F.when(wide, F.get("__b", F.lit(0))) if q - BRACKET > 0 else F.lit(None).cast("double")
+    hi = F.when(wide, F.get("__b", F.lit(1))) if q + BRACKET < 1 else F.lit(None).cast("double")
+    bounds = bounds.select(*by, "__n", lo.alias("__lo"), hi.alias("__hi"))
     named = bounds.withColumnsRenamed({c: f"__k_{c}" for c in by})
     same = F.lit(True)
     for c in by:
         same &= F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-    joined = rows.where("__v is not null").join(named, same) if by else rows.where("__v is not null").crossJoin(F.broadcast(named))
+    known = rows.where("__v is not null")
+    joined = known.join(named, same) if by else known.crossJoin(F.broadcast(named))  # without keys: one row
     below = F.coalesce(F.col("__v") < F.col("__lo"), F.lit(False))
     above = F.coalesce(F.col("__v") > F.col("__hi"), F.lit(False))
     # One count a group for all values below the bracket, and one for each value within it.
     counted = joined.where(~above).groupBy(*by, F.when(below, F.lit(None)).otherwise(F.col("__v")).alias("__v")).agg(F.count("*").alias("__c"), F.max("__n").alias("__n"))
     upto = F.sum("__c").over(Window.partitionBy(*by).orderBy(F.col("__v").asc_nulls_first()))
-    place = F.floor((F.col("__n") - 1) * q + 0.5)
-    found = counted.withColumn("__upto", upto).where((F.col("__upto") > place) & F.col("__v").isNotNull()).groupBy(*keys).agg(F.min("__v").alias(name))
+    inside = counted.withColumn("__upto", upto).where("__v is not null")
+    found = inside.groupBy(*keys).agg(*[F.min(F.when(F.col("__upto") > place(F.col("__n")), F.col("__v"))).alias(f"v{k}") for k, place in enumerate(places)])
     if not by:
-        return found.select(name)
-    whole = rows.select(*by).distinct()
+        return found
     renamed = found.withColumnsRenamed({c: f"__k_{c}" for c in by})
-    return whole.join(renamed, same, "left").select(*by, name)
+    return rows.select(*by).distinct().join(renamed, same, "left").select(*by, *[f"v{k}" for k in range(len(places))])
+
+
+def nearest_quantile(df: DataFrame, by: list[str], value: str, q: float, name: str) -> DataFrame:
+    """(by, name): per group the value at the 0-based place floor((n - 1) * q + 0.5) of its n non-null values in order.
+
+    Groups without values give null. NaN counts as the largest value. Null keys form one group. With no ``by``, one row.
+    """
+    found = _at_places(df, by, value, q, [lambda n: F.floor((n - 1) * q + 0.5)])
+    return found.select(*by, F.col("v0").alias(name))
+
+
+def median(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """(by, name): the mean of the two middle values, or the middle one; otherwise as nearest_quantile."""
+    found = _at_places(df, by, value, 0.5, [lambda n: F.floor((n - 1) / 2), lambda n: F.ceil((n - 1) / 2)])
+    return found.select(*by, ((F.col("v0") + F.col("v1")) / 2).alias(name))

@@ -84,6 +84,18 @@ def zero_filled(records: DataFrame, waves: DataFrame, leads: list[str] = LEADS,
     return cells.join(waves.select("record", "lead", "samples"), ["record", "lead"], "left").withColumn("samples", F.coalesce("samples", F.array_repeat(F.lit(0.0).cast("float"), length)))
 
 
+def train_validation(waves: DataFrame, ratio: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Waves split by record: about ``ratio`` of the records (one at least) for validation, in the order of a hash; fewer than two records are in both."""
+    records = waves.select("record").distinct()
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), "record"))
+    # One row: how many records there are.
+    n = records.agg(F.count("*").alias("n"))
+    ranked = records.crossJoin(F.broadcast(n)).withColumn("r", F.row_number().over(Window.orderBy(h, "record")))
+    held = ranked.where(F.col("r") <= F.greatest(F.lit(1), F.round(F.col("n") * ratio))).select("record", "n")
+    few = held.where("n < 2").select("record")
+    return waves.join(held.where("n >= 2").select("record"), "record", "left_anti"), waves.join(held.select("record").unionByName(few).distinct(), "record", "left_semi")
+
+
 def scale_of(waves: DataFrame, by: list[str]) -> DataFrame:
     """(by, mean, std): over all samples; a deviation under 1e-6 counts as 1."""
     s = waves.select(*by, F.explode("samples").alias("x"))

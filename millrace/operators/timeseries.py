@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.nulls import clip
-from millrace.operators.quantiles import nearest_quantile
+from millrace.operators.quantiles import median, nearest_quantile
 
 
 def utc_time(c: Column | str) -> Column:
@@ -114,9 +114,8 @@ def grid(keys: DataFrame, key: str, year: int, months: list[int]) -> DataFrame:
 
 def grid_filled(cells: DataFrame, monthly: DataFrame, key: str, value: str = "prediction") -> DataFrame:
     """cells with the monthly value, else the key's median month, else the median of all months."""
-    per_key = monthly.groupBy(key).agg(F.median(value).alias("__own"))
-    # One row: the median over all months and keys.
-    overall = monthly.agg(F.median(value).alias("__all"))
+    per_key = median(monthly, [key], value, "__own")
+    overall = median(monthly, [], value, "__all")  # one row
     out = cells.join(monthly.select(key, "year", "month", value), [key, "year", "month"], "left").join(per_key, key, "left").crossJoin(F.broadcast(overall))
     return out.select(key, "year", "month", F.coalesce(value, "__own", "__all").alias(value))
 

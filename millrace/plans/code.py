@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import assembly, codegraph, retrieval, style
+from millrace.operators import assembly, codegraph, completion, retrieval, style
 from millrace.plans.catalogue import Catalogue
 from millrace.plans.tables import table
 from millrace.sources import python_code
@@ -147,22 +147,19 @@ def ret_hash_embed(spark, d):
     return retrieval.hashed_embedding(table(spark, d, "documents"), "doc_id", T.code_tokens(F.col("text"))).withColumn("weight", F.round("weight", 6))
 
 
-# Fusion of two rankings of vectors: by cosine, and by closeness of the label, then of the number.
-@C.add(DENSE + """, l AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY abs(a.label - b.label), b.vec_id) - 1 AS place FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0),
- p AS (SELECT query_id, vec_id, 0.4::DOUBLE / (61 + place) AS part FROM r WHERE place < 20 UNION ALL SELECT query_id, vec_id, (1 - 0.4::DOUBLE) / (61 + place) FROM l WHERE place < 20),
+# Fusion of two rankings of vectors: by all numbers, and by the first eight.
+PART = DENSE.replace("FROM embeddings", "FROM (SELECT vec_id, embedding[1:8] AS embedding FROM embeddings)")
+
+
+@C.add(f"""WITH a AS ({DENSE} SELECT query_id, vec_id, place FROM r WHERE place < 20), b AS ({PART} SELECT query_id, vec_id, place FROM r WHERE place < 20),
+ p AS (SELECT query_id, vec_id, 0.4::DOUBLE / (61 + place) AS part FROM a UNION ALL SELECT query_id, vec_id, (1 - 0.4::DOUBLE) / (61 + place) FROM b),
  f AS (SELECT query_id, vec_id, sum(part) AS score FROM p GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS n FROM f)
  SELECT query_id, vec_id, round(score, 9) AS score FROM k WHERE n <= 10""")
 def ret_rrf_hybrid(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", "label")
-    # A label's vectors by number: the second ranking joins on the label's distance through small counts, not pairs.
-    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    labels = v.select("label").distinct()
-    near = asked.crossJoin(F.broadcast(labels)).select("query_id", "label", F.abs(F.col("ql") - F.col("label")).alias("far"))
-    first = codegraph.row_number(["label"], [F.col("vec_id")])
-    listed = v.withColumn("n", first).where("n <= 20")
-    order = codegraph.row_number(["query_id"], [F.col("far"), F.col("vec_id")])
-    other = near.join(listed, "label").withColumn("place", order - 1).where("place < 20")
-    return retrieval.fused(_dense(spark, d, 20), other.select("query_id", "vec_id", "place"), "query_id", "vec_id", 10, alpha=0.4).select("query_id", "vec_id", F.round("score", 9).alias("score"))
+    v = table(spark, d, "embeddings").withColumn("part", F.slice("embedding", 1, 8))
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "part")
+    whole, part = (retrieval.dense_top(v, "vec_id", c, asked, "query_id", c, 20) for c in ("embedding", "part"))
+    return retrieval.fused(whole, part, "query_id", "vec_id", 10, alpha=0.4).select("query_id", "vec_id", F.round("score", 9).alias("score"))
 
 
 @C.add("""WITH f AS (SELECT repo, file_path, content, row_number() OVER (PARTITION BY repo ORDER BY n_bytes DESC, file_path, file_id) - 1 AS place FROM source_files),
@@ -302,8 +299,8 @@ def ctx_adjacent(spark, d):
 @C.add(f"""WITH {LISTED}, o AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_start, line_end DESC, id) AS n FROM x)
  SELECT id FROM o i WHERE NOT EXISTS (SELECT 1 FROM o a WHERE a.path = i.path AND a.n < i.n AND a.line_start <= i.line_start AND i.line_end <= a.line_end)""")
 def ctx_contained(spark, d):
-    e = _placed(spark, d).withColumn("n", codegraph.row_number(["file_path"], [F.col("line_start"), F.col("line_end").desc(), F.col("id")]))
-    return codegraph.uncovered(e, ["file_path"], "n", "line_start", "line_end", ["id"])
+    e = _placed(spark, d)
+    return codegraph.uncovered(e, ["file_path"], "line_start", "line_end", "id").select("id")
 
 
 @C.add("""SELECT entity_id, round(0.01 * (entity_id % 100) * CASE WHEN contains(lower(file_path), 'test') THEN 1 ELSE 1.2 END::DOUBLE, 6) AS score FROM entities
@@ -319,27 +316,23 @@ def ctx_seed_score(spark, d):
  SELECT source, doc_id, CAST(t AS INTEGER) AS tokens FROM w WHERE kept""")
 def ctx_budget_fold(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", "text")
-    return assembly.within_budget(docs, ["source"], [F.col("doc_id")], "text", F.lit(3000), F.lit(False)).select("source", "doc_id", "tokens")
-
-
-def _assembled(spark, d):
-    """Contexts for every file, as if it were completed in its middle: the entity there, and the file's other entities."""
-    code = table(spark, d, "entities").join(table(spark, d, "source_files").select("file_id", F.col("file_path").alias("own")), "file_id")
-    path = F.concat_ws("/", F.col("file_id").cast("string"), "own")
-    shown = T.shown_code(F.col("raw_code"), F.col("signature"), F.col("docstring"))
-    texts = code.select(codegraph.entity_id(path, F.col("name"), F.col("line_start")).alias("id"), F.coalesce(shown, F.lit("")).alias("text")).groupBy("id").agg(F.max("text").alias("text"))
-    placed = _placed(spark, d)
-    at = codegraph.at_cursor(placed, _cursors(spark, d))
-    current = at.select(F.col("cursor").alias("task"), "id", F.lit("current_file").alias("source"), F.lit(2.0).alias("score"), F.when(F.col("role") == "parent", 0).otherwise(1).alias("pos"))
-    near = codegraph.adjacent(placed, at.where("role = 'entity'").join(placed, "id").select(F.col("id").alias("seed"), "file_path", "line_start"))
-    others = near.join(at.where("role = 'entity'").select(F.col("id").alias("seed"), F.col("cursor").alias("task")), "seed").select("task", "id", F.lit("adjacent_chunk").alias("source"), F.lit(0.8).alias("score"), F.lit(0).alias("pos"))
-    items = assembly.first_stage([current, others]).join(placed, "id").join(texts, "id")
-    return assembly.rendered(assembly.budgeted(items, 2000))
+    return assembly.within_budget(docs, ["source"], ["doc_id"], "text", F.lit(3000), F.lit(False)).select("source", "doc_id", "tokens")
 
 
 @C.add()
 def ctx_assemble(spark, d):
-    return _assembled(spark, d)
+    """Contexts for every Python file, as if it were completed in its middle, from its own repository."""
+    files = table(spark, d, "source_files").where("file_path like '%.py'")
+    tasks = _tasks(spark, d).where("file_path like '%.py'").join(files.select("file_id", "repo", "revision"), "file_id")
+    path = F.concat_ws("/", F.col("file_id").cast("string"), "file_path")
+    tasks = tasks.select(F.col("file_id").alias("task"), "repo", path.alias("path"), "prefix", "suffix", F.array(path).alias("modified"))
+    own = table(spark, d, "entities").select("file_id", "name", "line_start", "signature", "raw_code", "docstring")
+    texts = own.groupBy("file_id", "name", "line_start").agg(*[F.max(c).alias(c) for c in ("signature", "raw_code", "docstring")])
+    listed = _listed(spark, d)
+    number = F.split_part("file_path", F.lit("/"), F.lit(1)).cast("long")
+    e = listed.withColumn("file_id", number).join(texts, ["file_id", "name", "line_start"]).join(files.select("file_id", "repo"), "file_id")
+    e = e.select("repo", codegraph.entity_id(F.col("file_path"), F.col("name"), F.col("line_start")).alias("id"), "file_path", "name", F.col("type").alias("kind"), "line_start", "line_end", F.col("line_start").alias("place"), "signature", "raw_code", "docstring", "parent", "dependencies")
+    return completion.contexts(tasks, e, codegraph.edges(listed), max_tokens=2000)
 
 
 @C.add("""SELECT doc_id, md5('<|file_sep|>' || chr(10) || '# File: ' || source || chr(10) || '# document: ' || coalesce(topic, 'none') || chr(10) || text || chr(10)) AS context FROM documents""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from millrace.functions.nulls import drop_nulls, nan_to_null
 from millrace.operators import regression
 from millrace.operators import timeseries as ts
-from millrace.operators.quantiles import nearest_quantile
+from millrace.operators.quantiles import median, nearest_quantile
 from millrace.plans.catalogue import Catalogue
 from millrace.plans.tables import table
 
@@ -137,7 +137,7 @@ def _monthly(spark, d):
 
 @C.add(f"SELECT user_id, round(median(prediction), 6) AS fallback FROM ({MONTHLY}) GROUP BY 1")
 def ts_device_median(spark, d):
-    return _monthly(spark, d).groupBy("user_id").agg(F.round(F.median("prediction"), 6).alias("fallback"))
+    return median(_monthly(spark, d), ["user_id"], "prediction", "fallback").withColumn("fallback", F.round("fallback", 6))
 
 
 @C.add(f"""WITH m AS ({MONTHLY}), o AS (SELECT user_id, median(prediction) AS own FROM m GROUP BY 1), g AS (SELECT median(prediction) AS every FROM m),

@@ -186,15 +186,19 @@ def code_imports(spark, d):
     return python_code.imports(table(spark, d, "source_files").where("file_path like '%.py'"), ["file_id", "file_path"])
 
 
-# The listed entities, each identity once, with the path of their file.
-LISTED = """e AS (SELECT file_id || '/' || s.file_path AS path, name, type, line_start, min(line_end) AS line_end, min(e.parent) AS parent, max(dependencies) AS deps FROM entities e JOIN source_files s USING (file_id) GROUP BY ALL),
+# The listed entities, each identity once, with the path of their file; what they call is read off their code.
+CALL = r"([A-Za-z_]\w*)\("
+LISTED = rf"""l AS (SELECT file_id || '/' || s.file_path AS path, name, type, line_start, min(line_end) AS line_end, min(e.parent) AS parent, max(raw_code) AS code FROM entities e JOIN source_files s USING (file_id) GROUP BY ALL),
+ e AS (SELECT *, [c for c in list_distinct(regexp_extract_all(coalesce(code, ''), '{CALL}', 1)) if c <> name] AS deps FROM l),
  x AS (SELECT path || ':' || name || ':' || line_start AS id, * FROM e)"""
 
 
 def _listed(spark, d):
     e = table(spark, d, "entities").join(table(spark, d, "source_files").select("file_id", F.col("file_path").alias("own_path")), "file_id")
     path = F.concat_ws("/", F.col("file_id").cast("string"), "own_path")
-    return e.groupBy(path.alias("file_path"), "name", "type", "line_start").agg(F.min("line_end").alias("line_end"), F.min("parent").alias("parent"), F.max("dependencies").alias("dependencies"))
+    once = e.groupBy(path.alias("file_path"), "name", "type", "line_start").agg(F.min("line_end").alias("line_end"), F.min("parent").alias("parent"), F.max("raw_code").alias("code"))
+    calls = F.array_distinct(F.regexp_extract_all(F.coalesce("code", F.lit("")), F.lit(CALL), F.lit(1)))
+    return once.withColumn("dependencies", F.filter(calls, lambda c: c != F.col("name"))).drop("code")
 
 
 EDGES_SQL = f"""WITH {LISTED}, c AS (SELECT DISTINCT id AS src, path, unnest(deps) AS dep FROM x),
@@ -213,9 +217,9 @@ def code_degree(spark, d):
     return codegraph.degrees(codegraph.edges(_listed(spark, d)))
 
 
-@C.add(EDGES_SQL + ", u AS (SELECT src AS id FROM g UNION ALL SELECT dst FROM g) SELECT id, count(*) AS degree FROM u GROUP BY 1 HAVING count(*) > 20")
+@C.add(EDGES_SQL + ", u AS (SELECT src AS id FROM g UNION ALL SELECT dst FROM g) SELECT id, count(*) AS degree FROM u GROUP BY 1 HAVING count(*) > 6")
 def code_high_degree(spark, d):
-    return codegraph.high_degrees(codegraph.edges(_listed(spark, d)))
+    return codegraph.high_degrees(codegraph.edges(_listed(spark, d)), 6)
 
 
 # Orders as a graph: a supplier delivers parts.
@@ -251,15 +255,21 @@ def code_resolve_call(spark, d):
     return codegraph.resolved(calls, e.select("id", "file_path", "name"), "dep", F.col("file_path") == F.col("c_file"), ["src", "dep"]).select("src", "dep", "target")
 
 
-@C.add(f"""WITH {LISTED}, w AS (SELECT DISTINCT file_id, trim(split_part(unnest(imports), ' import ', 2)) AS name, trim(replace(split_part(unnest(imports), ' import ', 1), 'from ', '')) AS module FROM parse_results),
- k AS (SELECT w.file_id, w.name, w.module, min(CASE WHEN contains(x.path, replace(w.module, '.', '/')) THEN '0' ELSE '1' END || x.id) AS t FROM w JOIN x ON x.name = w.name WHERE w.name <> '' GROUP BY 1, 2, 3)
+# Each file imports the first entity of the next file of its repository.
+NEXT = f"""WITH {LISTED}, a AS (SELECT path, min_by(name, line_start * 1000 + length(name)) AS first FROM x GROUP BY 1),
+ f AS (SELECT file_id, lead(file_id || '/' || file_path) OVER (PARTITION BY repo ORDER BY file_id) AS path FROM source_files), w AS (SELECT f.file_id, a.first AS name, replace(regexp_replace(f.path, '\\.\\w+$', ''), '/', '.') AS module FROM f JOIN a USING (path))"""
+
+
+@C.add(NEXT + """, k AS (SELECT w.file_id, w.name, w.module, min(CASE WHEN contains(x.path, replace(w.module, '.', '/')) THEN '0' ELSE '1' END || x.id) AS t FROM w JOIN x ON x.name = w.name GROUP BY 1, 2, 3)
  SELECT file_id, name, module, substr(t, 2) AS target FROM k""")
 def code_resolve_import(spark, d):
     e = _listed(spark, d).withColumn("id", codegraph.entity_id(F.col("file_path"), F.col("name"), F.col("line_start")))
-    lines = table(spark, d, "parse_results").select("file_id", F.explode("imports").alias("line"))
-    want = lines.select("file_id", F.trim(F.split_part("line", F.lit(" import "), F.lit(2))).alias("want"), F.trim(F.replace(F.split_part("line", F.lit(" import "), F.lit(1)), F.lit("from "), F.lit(""))).alias("module"))
-    want = want.where("want <> ''").distinct()
-    preferred = F.col("c_file").contains(F.replace("module", F.lit("."), F.lit("/")))
+    first = e.groupBy("file_path").agg(F.min_by("name", F.col("line_start") * 1000 + F.length("name")).alias("want"))
+    path = F.concat_ws("/", F.col("file_id").cast("string"), "file_path")
+    nxt = F.lead(path).over(codegraph.Window.partitionBy("repo").orderBy("file_id"))
+    follow = table(spark, d, "source_files").select("file_id", nxt.alias("next"))
+    want = follow.join(first, F.col("next") == F.col("file_path")).select("file_id", "want", F.translate(F.regexp_replace("next", r"\.\w+$", ""), "/", ".").alias("module"))
+    preferred = F.col("c_file").contains(F.translate("module", ".", "/"))
     return codegraph.resolved(want, e.select("id", "file_path", "name"), "want", preferred, ["file_id", "want", "module"]).select("file_id", F.col("want").alias("name"), "module", "target")
 
 

@@ -1,6 +1,7 @@
 """Percentiles of very large columns by cumulative frequencies, combinable over days and shares of the rows."""
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ def frequencies(df: DataFrame, by: list[str], value: str, relative_error: float
     rows a group, whatever the number of rows: about log(largest / smallest) / (2 * relative_error) for each sign.
     """
     v = F.col(value).cast("double")
-    rows = df.select(*by, v.alias("value")).where("value is not null and not isnan(value)").dropna(subset=by)
+    rows = df.select(*by, v.alias("value")).where("value is not null and not isnan(value)").where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by], F.lit(True)))
     # 0.0 and -0.0 are one value.
     exact = F.when(F.col("value") == 0, F.lit(0.0)).otherwise(F.col("value"))
     rows = rows.withColumn("value", bucketed(F.col("value"), relative_error) if relative_error else exact)

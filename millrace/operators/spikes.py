@@ -91,7 +91,9 @@ def _runs(x: np.ndarray) -> np.ndarray:
 def long_form(df: DataFrame, fields: dict[str, tuple[float, float]], device: str, time: str, row: str, batch: str) -> DataFrame:
     """(series, at, rid, v): one row per possible value of a known device at a usable time; series is field|device."""
     known = with_device(df.select(row, device, time, batch, *fields), device, batch)
-    known = known.withColumn("at", instant(time)).where("device_known is not null and at is not null")
+    known = known.withColumn("at", instant(time)).where("device_known is not null and at is not null").select("device_known", "at", row, *fields)
+    # Range partitioning reads its input twice, so times are parsed and names joined once, before it.
+    known = written(known, "spikes-readings")
     pairs = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("v"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for f, (lo, hi) in fields.items()])
     flat = known.select("device_known", "at", F.col(row).cast("long").alias("rid"), F.inline(pairs))
     return flat.where("v is not null and not isnan(v) and v between lo and hi").select(F.concat_ws("|", "f", "device_known").alias("series"), "at", "rid", "v")

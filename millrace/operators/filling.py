@@ -92,6 +92,8 @@ def fill_missing(
         F.col("rid").alias(row), F.lit(device).alias("field"), F.lit(None).cast("double").alias("value"), F.col("batch_device").alias("text"), F.lit("batch").alias("method"), F.when(F.col("at").isNotNull() & F.col("lo").isNotNull(), away).alias("distance_s")
     )
     known = base.where("name is not null").unionByName(nameless.withColumn("name", F.col("batch_device")).drop("batch_device", "lo", "hi")).where("name is not null").drop("batch")
+    # Range partitioning reads its input twice, so times are parsed and names joined once, before it.
+    known = written(known, "filling-readings")
 
     fields = [f"__v_{f}" for f in numeric]
     cats = [f"__code_{c}" for c in categories]

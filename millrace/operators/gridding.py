@@ -41,6 +41,8 @@ def regular(
     slot = F.floor(F.col("at") / F.lit(step_s * 1_000_000)).cast("long")
     usable = df.select(named(device).alias("name"), instant(time).alias("at"), F.col(row).cast("long").alias("rid"), *[measured(F.col(f).cast("double")).alias(f"__v_{f}") for f in fields])
     usable = usable.where("name is not null and at is not null").withColumn("slot", slot)
+    # Range partitioning reads its input twice, so times are parsed once, before it.
+    usable = written(usable, "grid-readings")
     values = [f"__v_{f}" for f in fields]
     shards = written(pack(usable, "name", "slot", ["at", *values, "rid"], ["at", "slot", *values], rows_per_shard), "grid-shards")
     carried = _carried(shards, "name", values)

@@ -12,42 +12,44 @@ def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.select("child", "parent").distinct().join(known, F.col("child") == F.col("__n"), "left_semi").join(known, F.col("parent") == F.col("__n"), "left_semi")
 
 
-def closure(edges: DataFrame, limit: int = 100) -> DataFrame:
+def closure(edges: DataFrame, limit: int = 1_000_000) -> DataFrame:
     """(ancestor, descendant, depth): all pairs on a path of edges, by the shortest; cycles give a node as its own ancestor.
 
-    Semi-naive: each round joins only the newest pairs with the edges and keeps those not seen before. Lineage is cut
-    with a written table a round, so an executor's loss costs a round at most. Raises if ``limit`` rounds don't end it.
+    By doubling: once all pairs up to depth d are known, those of depth d to 2 d are the pairs of depth exactly d, each
+    followed by any known pair, as the first d steps of a shortest path are a shortest path. So a pair is found once for each
+    node in its middle, and the rounds grow as the logarithm of the depth. Each round's result is written, which cuts the
+    lineage. Raises if paths are longer than ``limit``.
     """
-    step = written(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).where("ancestor is not null and descendant is not null").distinct(), "closure-edges")
-    rounds = [step.withColumn("depth", F.lit(1))]
-    for depth in range(2, limit + 1):
-        newest = rounds[-1]
-        seen = rounds[0]
-        for r in rounds[1:]:
-            seen = seen.unionByName(r)
-        far = newest.select("ancestor", F.col("descendant").alias("__via")).join(step.select(F.col("ancestor").alias("__via"), "descendant"), "__via").select("ancestor", "descendant").distinct()
-        found = written(far.join(seen.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
+    known = written(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).where("ancestor is not null and descendant is not null").distinct().withColumn("depth", F.lit(1)), "closure")
+    reach = 1
+    while reach <= limit:
+        top = known.where(F.col("depth") == reach).select("ancestor", F.col("descendant").alias("__via"))
+        rest = known.select(F.col("ancestor").alias("__via"), "descendant", "depth")
+        far = top.join(rest, "__via").groupBy("ancestor", "descendant").agg((F.min("depth") + reach).alias("depth"))
+        found = written(far.join(known.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti"), "closure")
         if found.isEmpty():
-            return seen
-        rounds.append(found)
-    raise RuntimeError(f"the hierarchy is deeper than {limit}")
+            return known
+        known = known.unionByName(found)
+        reach *= 2
+    raise RuntimeError(f"paths are longer than {limit}")
 
 
-def levels(edges: DataFrame, nodes: DataFrame, limit: int = 100) -> DataFrame:
+def levels(edges: DataFrame, nodes: DataFrame, limit: int = 1_000) -> DataFrame:
     """(node, level): the length of the longest path from a root; nodes on a cycle or below one are left out.
 
     The order of ``level`` is a topological order, found by peeling: a round takes the nodes whose parents are all taken.
     """
     step = written(edges.select("child", "parent").distinct(), "level-edges")
-    left = written(nodes.select("node").where("node is not null").distinct(), "level-nodes")
+    left = nodes.select("node").where("node is not null").distinct()
     done = None
     for level in range(limit + 1):
-        open_edges = step.join(left, F.col("parent") == F.col("node"), "left_semi")
-        free = written(left.join(open_edges, F.col("node") == F.col("child"), "left_anti").withColumn("level", F.lit(level)), "levels")
+        held = step.join(left, F.col("parent") == F.col("node"), "left_semi").select("child").distinct()
+        round_ = written(left.join(held, F.col("node") == F.col("child"), "left").select("node", F.col("child").isNull().alias("free")), "levels")
+        free = round_.where("free").select("node", F.lit(level).alias("level"))
         if free.isEmpty():
             break
         done = free if done is None else done.unionByName(free)
-        left = written(left.join(free, "node", "left_anti"), "level-nodes")
+        left = round_.where("not free").select("node")
     return done if done is not None else left.withColumn("level", F.lit(0)).limit(0)
 
 

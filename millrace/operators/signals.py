@@ -197,14 +197,21 @@ def traced(blocks: DataFrame, keep: list[str], samples: int = SAMPLES) -> DataFr
     return rows.mapInPandas(run, f"{kinds}, samples array<float>")
 
 
-def row_bands(mask: np.ndarray, rows: int = 3) -> list[tuple[int, int]]:
-    """The page's strips of signal: the ``rows`` widest runs of inked rows, or an even split."""
-    profile = (mask.sum(axis=1) / 255.0).astype(float)
+def _strips(profile: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Runs of at least ``least`` places where the smoothed profile reaches a fifth of its largest value (1 at least)."""
+    if not len(profile) or profile.max() <= 0:
+        return []
     window = max(7, (len(profile) // 50) | 1)
     smooth = np.convolve(profile, np.full(window, 1 / window), mode="same")
-    on = smooth >= max(1.0, smooth.max() * 0.2) if profile.max() > 0 else np.zeros(len(profile), bool)
+    on = smooth >= max(1.0, smooth.max() * 0.2)
     edge = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(int), [0]])))
-    runs = [(int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= max(8, len(profile) // 50)]
+    return [(int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= least]
+
+
+def row_bands(mask: np.ndarray, rows: int = 3) -> list[tuple[int, int]]:
+    """The page's strips of signal: the ``rows`` widest runs of inked rows, or an even split."""
+    profile = mask.sum(axis=1) / 255.0
+    runs = _strips(profile, max(8, len(profile) // 50))
     if len(runs) >= rows:
         return sorted(sorted(runs, key=lambda r: r[0] - r[1])[:rows])
     cuts = np.linspace(0, len(profile), rows + 1).astype(int)
@@ -267,6 +274,83 @@ def without_small(mask: np.ndarray, least: int = 20) -> np.ndarray:
     return np.where((labels > 0) & (sizes[labels] >= least), mask, 0).astype(mask.dtype)
 
 
+def boxes(labels: np.ndarray, n: int) -> np.ndarray:
+    """(left, top, width, height, pixels) of the parts 1 to n of a labelled mask, one row each."""
+    y, x = np.nonzero(labels)
+    part = labels[y, x] - 1
+    out = np.zeros((n, 5), np.int64)
+    out[:, 4] = np.bincount(part, minlength=n)
+    for column, size, values in ((0, 2, x), (1, 3, y)):
+        low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+        np.minimum.at(low, part, values)
+        np.maximum.at(high, part, values)
+        out[:, column], out[:, size] = low, high - low + 1
+    return out
+
+
+def _kept(mask: np.ndarray, labels: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    return np.where(np.concatenate([[False], keep])[labels], 255, 0).astype(np.uint8)
+
+
+def without_text(mask: np.ndarray, area: float = 0.02, width: float = 0.18, height: float = 0.35) -> np.ndarray:
+    """The mask without parts like letters: within shares of the page's area, width and height (8 at least), off its left and top edges."""
+    h, w = mask.shape
+    labels, n = components(mask)
+    b = boxes(labels, n)
+    small = (b[:, 4] <= max(8, int(h * w * area))) & (b[:, 2] <= max(8, int(w * width))) & (b[:, 3] <= max(8, int(h * height)))
+    return _kept(mask, labels, ~(small & (b[:, 0] > 0) & (b[:, 1] > 0)))
+
+
+def without_vertical(mask: np.ndarray, height: float = 0.45, width: float = 0.06) -> np.ndarray:
+    """The mask without tall, narrow parts such as lead separators."""
+    h, w = mask.shape
+    labels, n = components(mask)
+    b = boxes(labels, n)
+    return _kept(mask, labels, ~((b[:, 3] >= max(8, round(h * height))) & (b[:, 2] <= max(2, round(w * width)))))
+
+
+def line_grid(mask: np.ndarray, length: int = 25) -> np.ndarray:
+    """The pixels in straight runs of at least ``length``, across or down: an opening by lines."""
+    on = mask > 0
+
+    def runs(a: np.ndarray) -> np.ndarray:
+        padded = np.pad(a.astype(np.int64), ((0, 0), (1, 1)))
+        edge = np.diff(padded, axis=1)
+        rows, begins = np.nonzero(edge == 1)
+        ends = np.nonzero(edge == -1)[1]
+        long = ends - begins >= length
+        marks = np.zeros((a.shape[0], a.shape[1] + 1), np.int64)
+        np.add.at(marks, (rows[long], begins[long]), 1)
+        np.add.at(marks, (rows[long], ends[long]), -1)
+        return np.cumsum(marks, axis=1)[:, :-1] > 0
+
+    return np.where(runs(on) | runs(on.T).T, 255, 0).astype(np.uint8)
+
+
+def crop_box(mask: np.ndarray, grid: np.ndarray | None = None, pad: int = 12, rows: int = 3) -> tuple[int, int, int, int]:
+    """(left, top, right, bottom) of the signal: as wide as the grid where that spans over half the page, else the whole width;
+
+    as high as what is drawn with ``pad`` rows more, and within that from the first to the ``rows``-th strip where there are as many.
+    """
+    h, w = mask.shape
+    drawn = (mask > 0) | (grid > 0) if grid is not None and grid.shape == mask.shape else mask > 0
+    if not drawn.any():
+        return 0, 0, w, h
+    left, right = 0, w
+    if grid is not None and (grid > 0).any():
+        x = np.flatnonzero((grid > 0).any(axis=0))
+        if x[-1] + 1 - x[0] > w * 0.5:
+            left, right = int(x[0]), int(x[-1]) + 1
+    y = np.flatnonzero(drawn.any(axis=1))
+    top, bottom = max(0, int(y[0]) - pad), min(h, int(y[-1]) + 1 + pad)
+    part = mask[top:bottom, left:right]
+    strips = _strips(part.sum(axis=1) / 255.0, max(8, part.shape[0] // 40))
+    if len(strips) >= rows:
+        bottom = top + min(part.shape[0], strips[rows - 1][1] + pad)
+        top += max(0, strips[0][0] - pad)
+    return left, top, right, bottom
+
+
 def split_leads(mask: np.ndarray) -> dict[str, np.ndarray]:
     """The part of a page's mask for each lead of LAYOUT."""
     out = {}

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators.retrieval import seeded_sample
 
 SHARES = ["naming_snake", "naming_camel", "naming_pascal", "type_hints", "doc_google", "doc_numpy", "doc_rest", "doc_none", "quote_single", "quote_double", "functional_ratio"]
 
@@ -58,6 +59,15 @@ def gate(local: DataFrame, overall: DataFrame, on: list[str], threshold: float =
     return joined.withColumn("divergence", divergence("", "__q_")).withColumn("update", F.col("divergence") > threshold).drop(*[f"__q_{n}" for n in names], *[f"__on_{c}" for c in on])
 
 
+def file_gates(entities: DataFrame, file: str, repo: str, key: str, local: int = 5, overall: int = 20, threshold: float = 0.15) -> DataFrame:
+    """Each file's style against its repository's, by ``gate``: profiles of ``local`` of its entities and ``overall`` of the repository's, by hash.
+
+    The samples are the feature: a style is told from few entities.
+    """
+    own = profile(seeded_sample(entities, key, local, by=[repo, file]), [repo, file])
+    return gate(own, profile(seeded_sample(entities, key, overall, by=[repo]), [repo]), [repo], threshold)
+
+
 def instruction() -> Column:
     """A sentence on a profile's style."""
     c = F.col

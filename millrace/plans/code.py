@@ -413,6 +413,11 @@ def sty_kl_gate(spark, d):
     return style.gate(style.profile(e, ["repo"]), style.profile(e, []), []).select("repo", F.round("divergence", 6).alias("divergence"), "update")
 
 
+@C.add()
+def sty_file_gate(spark, d):
+    return style.file_gates(_styled(spark, d), "file_id", "repo", "entity_id").select("repo", "file_id", "divergence", "update")
+
+
 @C.add("""SELECT f.file_id, f.k AS key, c.k IS NOT NULL AS hit FROM (SELECT file_id, file_path, left(md5(content), 16) AS k FROM source_files) f
  LEFT JOIN (SELECT DISTINCT left(md5(content), 16) AS k FROM source_files WHERE file_id % 2 = 0) c USING (k)""")
 def cache_hit_miss(spark, d):

@@ -296,3 +296,29 @@ def test_adapters(spark):
     assert sum(one(spark, adapters.hashed_ngrams(F.col("t")), t=("CCO=C", "string")).values()) == 3
     known = spark.createDataFrame([], "key string, abstract string")
     assert [r.abstract for r in adapters.summarised(df, "t", known, lambda: str.upper).orderBy(F.desc("t")).collect()] == ["AB", None]
+
+
+def test_page_parts():
+    page = np.zeros((200, 300), np.uint8)
+    page[40:44, 10:290] = page[100:104, 10:290] = page[160:164, 10:290] = 255  # long strokes
+    page[70:76, 50:55] = 255  # a letter
+    labels, n = signals.components(page)
+    assert n == 4 and signals.boxes(labels, n).tolist()[1] == [50, 70, 5, 6, 30]
+    assert (signals.without_text(page) == np.where(labels == 2, 0, page)).all()
+    tall = np.zeros((100, 100), np.uint8)
+    tall[10:80, 50] = 255
+    tall[90, 5:95] = 255
+    assert signals.without_vertical(tall)[:85].sum() == 0 and signals.without_vertical(tall)[90].sum() == 90 * 255
+    grid = signals.line_grid(page)
+    assert (grid[40:44, 10:290] == 255).all() and grid[70:76].sum() == 0
+    assert (signals.line_grid(tall)[10:80, 50] == 255).all()
+    full = np.zeros_like(page)
+    full[20:180, 30:280:10] = 255
+    left, top, right, bottom = signals.crop_box(page, full)
+    assert (left, right) == (30, 271) and top < 40 and bottom > 163
+    assert signals.crop_box(np.zeros((5, 7), np.uint8)) == (0, 0, 7, 5)
+
+
+def test_shuffled_folds_are_even():
+    f = multilabel.shuffled_folds(23)
+    assert np.bincount(f).tolist() == [5, 5, 5, 4, 4] and (f == multilabel.shuffled_folds(23)).all()

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.sources import python_code, readers, writers
+from millrace.sources import comparison, python_code, readers, writers
 from millrace.streaming import incremental
 
 
@@ -74,6 +74,16 @@ def test_npz_round_trip(spark, tmp_path):
     assert {(r.record, r.lead): r.samples for r in readers.npz(spark, str(tmp_path / "*.npz")).collect()} == {("r1", "I"): [0.5, 1.0], ("r1", "V1"): [2.0]}
 
 
+def test_against_truth(spark, tmp_path):
+    (tmp_path / "rec.hea").write_text("rec 1 500 4\nrec.dat 16 100(0)/mV 16 0 0 0 0 I\n")
+    (tmp_path / "rec.dat").write_bytes(struct.pack("<4h", 0, 100, 200, 300))
+    (tmp_path / "rec.json").write_text(json.dumps({"leads": [{"lead_name": "I", "start_sample": 0, "end_sample": 4}]}))
+    np.savez(tmp_path / "p.npz", rec_I=np.array([0, 1, 2, 4], np.float32), rec_V9=np.zeros(3), other=np.zeros(2))
+    paths = [str(tmp_path / f"*.{x}") for x in ("npz", "hea", "dat", "json")]
+    got = comparison.against_truth(spark, *paths).collect()
+    assert [(r.record, r.lead, r.mae, r.gt_max) for r in got] == [("rec", "I", 0.25, 3.0)] and got[0].corr > 0.97
+
+
 def test_wide_labels_and_graph(spark, tmp_path):
     rows = spark.createDataFrame([("m1", "C"), ("m2", "O")], "mol_id string, smiles string")
     labels = spark.createDataFrame([("m1", "class_1", 1)], "mol_id string, cls string, label int")

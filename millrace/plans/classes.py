@@ -11,13 +11,13 @@ from millrace.plans.tables import table
 C = Catalogue()
 
 # A tree over the parts: a part's parent has half its number.
-EDGES = "SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey > 0 AND p_partkey % 11 <> 5"
+EDGES = "SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey > 0"
 CLOSED = f"""WITH RECURSIVE e AS ({EDGES}), c AS (SELECT parent AS ancestor, child AS descendant, 1 AS depth FROM e
  UNION ALL SELECT c.ancestor, e.child, c.depth + 1 FROM c JOIN e ON c.descendant = e.parent)"""
 
 
 def _edges(spark, d):
-    p = table(spark, d, "part").where("p_partkey > 0 and p_partkey % 11 <> 5")
+    p = table(spark, d, "part").where("p_partkey > 0")
     return p.select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 2").alias("parent"))
 
 
@@ -54,8 +54,8 @@ def onto_enforce_max(spark, d):
     return onto.consistent(_scores(spark, d), onto.closure(_edges(spark, d)))
 
 
-@C.add(f"""WITH e AS ({EDGES}), s AS {SCORES}, l AS (SELECT item, node, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS label FROM s)
- SELECT count(*) AS n FROM l a JOIN e ON a.node = e.child JOIN l b ON b.item = a.item AND b.node = e.parent WHERE a.label = 1 AND b.label = 0""")
+@C.add(f"""WITH e AS ({EDGES}), s AS {SCORES}, l AS MATERIALIZED (SELECT item, node, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS label FROM s),
+ x AS MATERIALIZED (SELECT item, parent AS node FROM l JOIN e ON node = child WHERE label = 1) SELECT count(*) AS n FROM x JOIN l USING (item, node) WHERE label = 0""")
 def onto_inconsistencies(spark, d):
     labels = _scores(spark, d).select("item", "node", (F.col("score") >= 0.5).cast("int").alias("label"))
     return onto.inconsistencies(labels, _edges(spark, d))
@@ -90,9 +90,9 @@ def ml_pos_weight(spark, d):
     return ml.positive_weights(_scored(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
-@C.add("SELECT l_partkey AS item, l_returnflag AS cls, round(sum(l_discount / 5), 6) AS p FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1, 2")
+@C.add("SELECT l_partkey AS item, l_returnflag AS cls, round(sum(l_discount / 5), 6) AS p FROM lineitem GROUP BY 1, 2")
 def ml_fold_average(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber <= 5")
+    li = table(spark, d, "lineitem")
     return ml.fold_average(li.select(F.col("l_partkey").alias("item"), F.col("l_returnflag").alias("cls"), F.col("l_discount").alias("p")), 5).withColumn("p", F.round("p", 6))
 
 

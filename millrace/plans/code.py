@@ -223,11 +223,11 @@ def code_high_degree(spark, d):
 
 
 # Orders as a graph: a supplier delivers parts.
-SP = "(SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, 'CALLS' AS relation FROM lineitem WHERE l_quantity > 49)"
+SP = "(SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, 'CALLS' AS relation FROM lineitem)"
 
 
 def _supply(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity > 49")
+    li = table(spark, d, "lineitem")
     return li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("CALLS").alias("relation")).distinct()
 
 
@@ -299,11 +299,10 @@ def ctx_cursor_entity(spark, d):
     return j.where(F.col("line").between(F.col("line_start"), F.col("line_end"))).select("cursor", "id")
 
 
-@C.add("SELECT a.l_orderkey * 10 + a.l_linenumber AS seed, b.l_orderkey * 10 + b.l_linenumber AS key FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND abs(a.l_partkey - b.l_partkey) <= 50 AND a.l_orderkey * 10 + a.l_linenumber <> b.l_orderkey * 10 + b.l_linenumber AND a.l_orderkey % 3 = 0")
+@C.add("SELECT a.l_orderkey * 10 + a.l_linenumber AS seed, b.l_orderkey * 10 + b.l_linenumber AS key FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND abs(a.l_partkey - b.l_partkey) <= 50 AND a.l_orderkey * 10 + a.l_linenumber <> b.l_orderkey * 10 + b.l_linenumber")
 def ctx_adjacent(spark, d):
     li = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), "l_orderkey", "l_partkey")
-    seeds = li.where("l_orderkey % 3 = 0").withColumnRenamed("key", "seed")
-    return codegraph.adjacent(li, seeds, 50, "l_orderkey", "l_partkey", "key")
+    return codegraph.adjacent(li, li.withColumnRenamed("key", "seed"), 50, "l_orderkey", "l_partkey", "key")
 
 
 @C.add(f"""WITH {LISTED}, o AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_start, line_end DESC, id) AS n FROM x)
@@ -419,8 +418,9 @@ def sty_file_gate(spark, d):
 
 
 @C.add("""SELECT f.file_id, f.k AS key, c.k IS NOT NULL AS hit FROM (SELECT file_id, file_path, left(md5(content), 16) AS k FROM source_files) f
- LEFT JOIN (SELECT DISTINCT left(md5(content), 16) AS k FROM source_files WHERE file_id % 2 = 0) c USING (k)""")
+ LEFT JOIN (SELECT DISTINCT left(md5(content), 16) AS k FROM source_files SEMI JOIN (SELECT file_id FROM parse_results WHERE len(entities) > 0) USING (file_id)) c USING (k)""")
 def cache_hit_miss(spark, d):
     f = table(spark, d, "source_files").select("file_id", T.content_key(F.col("content")).alias("key"))
-    cached = f.where("file_id % 2 = 0").select(F.col("key").alias("__k")).distinct()
+    parsed = table(spark, d, "parse_results").where("size(entities) > 0").select("file_id")
+    cached = f.join(parsed, "file_id", "left_semi").select(F.col("key").alias("__k")).distinct()
     return f.join(cached, F.col("key") == F.col("__k"), "left").select("file_id", "key", F.col("__k").isNotNull().alias("hit"))

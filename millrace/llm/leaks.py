@@ -287,7 +287,8 @@ def _block(spark: SparkSession, source: DataFrame, items: Items, changed: float)
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids = Items.of(shared.value), Ids()
         total = np.zeros(len(block.known), np.int64)
-        for b in batches:
+        # A thousand documents at a time, so that a task holds few words at once.
+        for b in (whole.slice(lo, 1_000) for whole in batches for lo in range(0, whole.num_rows, 1_000)):
             docs, starts, w, h = _scan(b.column(0).to_pylist(), b.column(1).to_pylist(), ids)
             places, which = block.hits(h)
             if not len(places):

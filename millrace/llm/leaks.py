@@ -4,7 +4,6 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -161,24 +160,67 @@ def _scan(docs: list, texts: list, ids: Ids) -> tuple[list, np.ndarray, np.ndarr
     return kept, np.array(starts), w, h
 
 
-def align(doc: np.ndarray, item: np.ndarray, stock: np.ndarray, least: int, changed: float) -> tuple[int, int, int, int] | None:
-    """(words, same, item_start, doc_start) of the longest passage of the item found in order in the document's words, or None.
+def align(doc: np.ndarray, item: np.ndarray, stock: np.ndarray, least: int, changed: float, lo: int, hi: int) -> tuple[int, int, int, int] | None:
+    """(words, same, item_start, doc_start) of the longest passage of the item in order in the document's words, or None.
 
     words counts the item's words from the first to the last that agree; the words that don't (in the longer of both
     texts) may be at most ``changed`` of them, rounded to the nearest. At least three quarters of a shortest passage must be no stock.
+    Only passages that begin on the diagonals (document place - item place) lo to hi - 1 count; of equally long ones
+    that with the most agreeing words, then the first in the item, then in the document.
+
+    Exact: from each pair of equal words, longest common subsequences over the diagonals a passage can wander to. Pairs
+    are left out whose words within those diagonals can't make a passage as long as the longest so far.
     """
-    blocks = [b for b in SequenceMatcher(None, doc.tolist(), item.tolist(), autojunk=False).get_matching_blocks() if b.size]
-    best = None
-    for s, first in enumerate(blocks):
-        same = 0
-        for last in blocks[s:]:
-            same += last.size
-            span, other = last.b + last.size - first.b, last.a + last.size - first.a
-            if max(span, other) - same > len(item) * changed + 1:
-                break
-            if span >= least and same >= least * (1 - changed) and max(span, other) - same <= span * changed + 0.5 and (best is None or span > best[0]):
-                if span - int(stock[first.b : first.b + span].sum()) >= 0.75 * least:
-                    best = (span, same, first.b, first.a)
+    n, far = len(item), int(len(item) * changed + 0.5)
+    wide = 2 * far + 1
+    # Equal words by item place and diagonal, from lo - far on.
+    columns = np.arange(lo - far, hi + far)
+    padded = np.full(n + len(columns) - 1, -1, np.int64)
+    inside = slice(max(0, columns[0]), max(0, columns[0] + len(padded)))
+    padded[inside.start - columns[0] :][: len(doc[inside])] = doc[inside]
+    equal = np.lib.stride_tricks.sliding_window_view(padded, len(columns)) == item[:, None]
+    row, start = np.nonzero(equal[: max(0, n - least + 1), far : len(columns) - far])
+    if not len(row):
+        return None
+    sums = np.zeros((n, len(columns) + 1), np.int32)
+    np.cumsum(equal, axis=1, out=sums[:, 1:])
+    over = np.zeros((n + 1, hi - lo))
+    np.cumsum(sums[:, wide:] == sums[:, : hi - lo], axis=0, out=over[1:])
+    over -= np.arange(n + 1)[:, None] * changed
+    # The last end that the absent words allow: ends further on all have more of them.
+    ahead = np.minimum.accumulate(over[::-1], axis=0)[::-1]
+    reach = np.concatenate([(ahead[:, start[k : k + 1_000]] <= over[row[k : k + 1_000], start[k : k + 1_000]] + 0.5 + 1e-9).sum(axis=0) - 1 for k in range(0, len(row), 1_000)]) - row
+    own = np.concatenate([[0], np.cumsum(~stock)])
+    order = np.lexsort((start, row, -reach))
+    order = order[reach[order] >= least]
+    bands = np.lib.stride_tricks.sliding_window_view(equal, wide, axis=1)
+    drift = np.maximum(np.arange(-far, far + 1), 0)
+    best, done, chunk = None, 0, 16
+    while done < len(order) and reach[order[done]] >= (best[0] if best else least):
+        take = order[done : done + chunk]
+        done, chunk = done + chunk, min(4 * chunk, 256)
+        i, c, upto = row[take], start[take], reach[take]
+        # Words in common up to a place of the item and a diagonal; far below 0 before the first.
+        same = np.full((len(take), wide), -n - 1, np.int32)
+        same[:, far:] = 1
+        for k in range(1, int(upto.max())):
+            alive = (upto > k) & (k - same.max(axis=1) <= upto * changed + 0.5 + 1e-9) & (upto >= (best[0] if best else least))
+            if not alive.all():
+                i, c, upto, same = i[alive], c[alive], upto[alive], same[alive]
+                if not len(i):
+                    break
+            hit = bands[i + k, c]
+            with_hit = same + hit
+            if k + 1 >= max(least, best[0] if best else 0):
+                ends = hit & (k + 1 + drift - with_hit <= (k + 1) * changed + 0.5 + 1e-9) & (with_hit >= least * (1 - changed)) & (own[i + k + 1] - own[i] >= 0.75 * least)[:, None]
+                if ends.any():
+                    most = np.where(ends, with_hit, 0).max(axis=1)
+                    x = min(np.nonzero(most == most.max())[0], key=lambda x: (i[x], c[x]))
+                    got = (k + 1, int(most[x]), int(i[x]), int(i[x] + c[x] + lo))
+                    if best is None or (got[0], got[1], -got[2], -got[3]) > (best[0], best[1], -best[2], -best[3]):
+                        best = got
+            with_hit[:, :-1] = np.maximum(with_hit[:, :-1], same[:, 1:])
+            same = np.maximum.accumulate(with_hit, axis=1)
     return best
 
 
@@ -205,35 +247,32 @@ def _found(items: Items, docs: list, starts: np.ndarray, w: np.ndarray, places:
     for shift in (0, BAND // 2):
         band = (diagonal + shift) // BAND
         order = np.lexsort((q, band, pair))
-        a, b, c, at = pair[order], band[order], q[order], p[order]
+        a, b, c = pair[order], band[order], q[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
-        a, b, c, at = a[new], b[new], c[new], at[new]
+        a, b, c = a[new], b[new], c[new]
         group = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
         key = group * (1 << 32) + c
         enough = np.searchsorted(key, key + items.window, "left") - np.arange(len(key)) >= items.needed
         for x in np.unique(group[enough]):
-            lo, hi = np.searchsorted(group, x, "left"), np.searchsorted(group, x, "right")
-            passed.setdefault(int(a[lo]), []).extend((int(at[lo:hi].min()), int(at[lo:hi].max())))
+            k = np.searchsorted(group, x, "left")
+            passed.setdefault(int(a[k]), []).append(int(b[k]) * BAND - shift - 4096 * 4096)
     out = []
-    for pair_id, reach in passed.items():
+    for pair_id, firsts in passed.items():
         d, i = divmod(pair_id, n_items)
         item = items.words[i]
-        lo, hi = int(starts[d]), int(starts[d + 1])
+        text = w[starts[d] : starts[d + 1]]
         best = None
-        # Stretches of the document that hold the hits, far ones apart.
-        reach = sorted(zip(reach[::2], reach[1::2], strict=True))
-        merged: list[list[int]] = []
-        for a, b in reach:
-            a, b = max(lo, a - len(item) // 4 - 8), min(hi, b + len(item) // 4 + 8)
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        for a, b in merged:
-            got = align(w[a:b], item, items.stock[i], items.least, changed)
-            if got and (best is None or got[0] > best[0]):
-                best = (got[0], got[1], got[2], a - lo + got[3])
+        # Diagonals on which a passage through a passed band can begin, each taken once and not too many together.
+        wander = int(len(item) * changed + 0.5)
+        done = -len(item)
+        for first in sorted(firsts):
+            done = max(done, first - wander)
+            while done < (end := min(first + BAND + wander, len(text))):
+                lo, done = done, min(end, done + 2 * wander + 2 * BAND)
+                got = align(text, item, items.stock[i], items.least, changed, lo, done)
+                if got and (best is None or (got[0], got[1], -got[2], -got[3]) > (best[0], best[1], -best[2], -best[3])):
+                    best = got
         if best:
             out.append((items.ids[i], docs[d], *best))
     return out

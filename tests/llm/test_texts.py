@@ -4,6 +4,7 @@ import math
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,52 @@ def test_leaks_that_are_none(spark):
     assert leaks.leaked(docs(spark, []), items).count() == 0 and leaks.leaked(docs(spark, rows), items.limit(0)).count() == 0
 
 
+def test_leaks_beside_a_longer_quotation(spark):
+    rng = random.Random(6)
+    a = sentence(rng, 150)
+    passage = [w if k % 8 != 7 or k > 31 else "other" for k, w in enumerate(a[:40])]
+    items = spark.createDataFrame([(1, " ".join(a))], "item_id long, text string")
+    rows = [(1, " ".join(a[110:125] + sentence(rng, 5) + passage)), (2, " ".join(sentence(rng, 7) + passage)), (3, " ".join(a[110:125] + sentence(rng, 5) + a[:25]))]
+    got = {(r.doc_id, r.words, r.same, r.item_start, r.doc_start) for r in leaks.leaked(docs(spark, rows), items).collect()}
+    assert got == {(1, 40, 36, 0, 20), (2, 40, 36, 0, 7)}
+
+
+def longest_passage(doc, item, least, changed=0.125):
+    """(words, same, item_start, doc_start) by longest common subsequences from every pair of equal words."""
+    found = []
+    for i, j in ((i, j) for i in range(len(item)) for j in range(len(doc)) if item[i] == doc[j]):
+        before = [1] * (len(doc) - j)
+        for k in range(1, len(item) - i):
+            now = [1]
+            for o in range(1, len(doc) - j):
+                hit = item[i + k] == doc[j + o]
+                now.append(max(now[-1], before[o], before[o - 1] + 1 if hit else 0))
+                same = before[o - 1] + 1
+                if hit and k + 1 >= least and same >= least * (1 - changed) and max(k, o) + 1 - same <= (k + 1) * changed + 0.5:
+                    found.append((k + 1, same, -i, -j))
+            before = now
+    if not found:
+        return None
+    n, same, i, j = max(found)
+    return n, same, -i, -j
+
+
+def test_alignment_against_all_passages():
+    rng = random.Random(7)
+    none = 0
+    for _ in range(60):
+        size, least = rng.choice([4, 12, 60]), rng.choice([8, 10, 12])
+        item = [rng.randrange(size) for _ in range(rng.randint(least, 28))]
+        a = rng.randrange(len(item) - least + 1)
+        part = [w if rng.random() > 0.1 else rng.randrange(size) for w in item[a : a + rng.randint(least, 28)]]
+        part[rng.randrange(len(part)) :][:1] = [rng.randrange(size)] * rng.randrange(3)
+        doc = [rng.randrange(size) for _ in range(rng.randrange(12))] + part + [rng.randrange(size) for _ in range(rng.randrange(12))]
+        want = longest_passage(doc, item, least)
+        none += want is None
+        assert leaks.align(np.array(doc), np.array(item), np.zeros(len(item), bool), least, 0.125, -len(item), len(doc)) == want
+    assert 5 < none < 55
+
+
 def test_packing(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["word"] * rng.choice([3, 50, rng.randint(60, 700), rng.randint(60, 700), 2500]))) for i in range(300)] + [(900, ""), (901, None), (None, "x"), (902, "w " * 20_000)]

@@ -23,12 +23,12 @@ def _carried(shards: DataFrame, key: str, fields: list[str]) -> DataFrame:
         pairs = F.arrays_zip(F.col("at"), F.col(f).alias("v"))
         return F.filter(pairs, lambda p: ~F.isnan(p["v"]))
 
-    ends = shards.select(key, "first", "last", *[seen(f).alias(f) for f in fields])
-    ends = ends.select(key, "first", "last", *[F.when(F.size(f) > 0, F.struct(F.get(f, F.lit(0)).alias("lo"), F.get(f, F.size(f) - 1).alias("hi"))).alias(f) for f in fields])
+    ends = shards.select(key, "shard", *[seen(f).alias(f) for f in fields])
+    ends = ends.select(key, "shard", *[F.when(F.size(f) > 0, F.struct(F.get(f, F.lit(0)).alias("lo"), F.get(f, F.size(f) - 1).alias("hi"))).alias(f) for f in fields])
     back = along(key).rowsBetween(Window.unboundedPreceding, -1)
     ahead = along(key).rowsBetween(1, Window.unboundedFollowing)
     carried = [F.struct(F.last(F.col(f"{f}.hi"), True).over(back).alias("prev"), F.first(F.col(f"{f}.lo"), True).over(ahead).alias("next")).alias(f"{f}_near") for f in fields]
-    return shards.join(ends.select(key, "first", "last", *carried), [key, "first", "last"])
+    return shards.join(ends.select(key, "shard", *carried), [key, "shard"])
 
 
 def neighbours(at: np.ndarray, v: np.ndarray, near: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -171,8 +171,8 @@ def _carried_codes(shards: DataFrame, key: str, codes: list[str]) -> DataFrame:
     out = shards
     for c in codes:
         seen = F.filter(F.arrays_zip(F.col("at"), F.col(c).alias("v")), lambda p: p["v"] != 0)
-        ends = shards.select(key, "first", "last", seen.alias("s")).select(key, "first", "last", F.get("s", F.lit(0)).alias("lo"), F.get("s", F.size("s") - 1).alias("hi"))
+        ends = shards.select(key, "shard", seen.alias("s")).select(key, "shard", F.get("s", F.lit(0)).alias("lo"), F.get("s", F.size("s") - 1).alias("hi"))
         back, ahead = along(key).rowsBetween(Window.unboundedPreceding, -1), along(key).rowsBetween(1, Window.unboundedFollowing)
         near = F.struct(F.last("hi", True).over(back).alias("prev"), F.first("lo", True).over(ahead).alias("next")).alias(f"{c}_near")
-        out = out.join(ends.select(key, "first", "last", near), [key, "first", "last"])
+        out = out.join(ends.select(key, "shard", near), [key, "shard"])
     return out

@@ -106,15 +106,17 @@ def impossible(df: DataFrame, fields: dict[str, tuple[float, float]], row: str)
 
 
 def _summaries(shards: DataFrame) -> DataFrame:
-    """The shards' edges: up to HALO readings, and the run of one value at either end (first and last time, readings).
+    """The shards' edges: up to HALO + 1 readings, the first and last reading, and the run of one value at either end
 
-    Copies of a reading (same time and value) count once, so runs are counted in readings, not in rows.
+    (first and last time, readings). Copies of a reading (same time and value) count once, so runs are counted in
+    readings, not in rows. A shard whose first reading is a copy of the last of the shard before is ``copied``; that
+    reading counts there, so head, tail and n (readings) are without it here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("series", "first", "last", "head", "tail", "runs")}
-            for series, first, last, at, v in zip(*(b.column(c) for c in ("series", "first", "last", "at", "v")), strict=True):
+            out: dict[str, list] = {k: [] for k in ("series", "shard", "n", "begin", "end", "head", "tail", "runs")}
+            for series, shard, at, v in zip(*(b.column(c) for c in ("series", "shard", "at", "v")), strict=True):
                 t, x = at.values.to_numpy(), v.values.to_numpy()
                 keep = _firsts(t, x)
                 t, x = t[keep], x[keep]
@@ -123,13 +125,20 @@ def _summaries(shards: DataFrame) -> DataFrame:
                 runs = [(float(x[0]), int(t[0]), int(t[lo - 1]), lo)]
                 if hi:
                     runs.append((float(x[-1]), int(t[hi]), int(t[-1]), len(x) - hi))
-                for k, value in (("series", series.as_py()), ("first", first.as_py()), ("last", last.as_py()), ("head", x[:HALO].tolist()), ("tail", x[-HALO:].tolist()), ("runs", [dict(zip(("value", "t0", "t1", "n"), r, strict=True)) for r in runs])):
+                for k, value in (("series", series.as_py()), ("shard", shard.as_py()), ("n", len(x)), ("begin", {"at": int(t[0]), "v": float(x[0])}), ("end", {"at": int(t[-1]), "v": float(x[-1])}), ("head", x[: HALO + 1].tolist()), ("tail", x[-HALO - 1 :].tolist()), ("runs", [dict(zip(("value", "t0", "t1", "n"), r, strict=True)) for r in runs])):
                     out[k].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     one = pa.struct([("value", pa.float64()), ("t0", pa.int64()), ("t1", pa.int64()), ("n", pa.int64())])
-    schema = pa.schema([("series", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("head", pa.list_(pa.float64())), ("tail", pa.list_(pa.float64())), ("runs", pa.list_(one))])
-    return shards.select("series", "first", "last", "at", "v").mapInArrow(run, "series string, first long, last long, head array<double>, tail array<double>, runs array<struct<value:double,t0:long,t1:long,n:long>>")
+    reading = pa.struct([("at", pa.int64()), ("v", pa.float64())])
+    schema = pa.schema([("series", pa.string()), ("shard", pa.int64()), ("n", pa.int64()), ("begin", reading), ("end", reading), ("head", pa.list_(pa.float64())), ("tail", pa.list_(pa.float64())), ("runs", pa.list_(one))])
+    found = shards.select("series", "shard", "at", "v").mapInArrow(run, "series string, shard long, n long, begin struct<at:long,v:double>, end struct<at:long,v:double>, head array<double>, tail array<double>, runs array<struct<value:double,t0:long,t1:long,n:long>>")
+    found = found.withColumn("copied", F.coalesce(F.lag("end").over(along("series")) == F.col("begin"), F.lit(False)))
+    tail = F.when(F.col("copied") & (F.size("tail") == F.col("n")), F.slice("tail", 2, HALO + 1)).otherwise(F.col("tail")).alias("tail")
+    head = F.when(F.col("copied"), F.slice("head", 2, HALO + 1)).otherwise(F.col("head")).alias("head")
+    # A copied reading is left out of the run that it begins; it is of the run before.
+    runs = F.transform("runs", lambda r, i: F.when(F.col("copied") & (i == 0), r.withField("n", r["n"] - 1)).otherwise(r)).alias("runs")
+    return found.select("series", "shard", "copied", (F.col("n") - F.col("copied").cast("long")).alias("n"), head, tail, runs)
 
 
 def _firsts(t: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -138,20 +147,29 @@ def _firsts(t: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def borders(summaries: DataFrame) -> DataFrame:
-    """(series, first, last, before, after, head_run, tail_run): the neighbours' readings, and the whole runs that
+    """(series, shard, copied, before, after, head_run, tail_run): the neighbours' readings, and the whole runs that
 
-    reach a shard's ends, however many shards they cross: gaps and islands over at most two runs a shard.
+    reach a shard's ends, however many shards they cross: gaps and islands over at most two runs a shard. before and
+    after have up to HALO + 1 readings, from several shards where these are short. A copied reading ends before.
     """
-    pieces = summaries.select("series", "first", "last", F.size("runs").alias("k"), F.posexplode("runs").alias("end", "run"))
-    order = Window.partitionBy("series").orderBy("first", "last", "end")
+    pieces = summaries.select("series", "shard", F.posexplode("runs").alias("end", "run"))
+    order = Window.partitionBy("series").orderBy("shard", "end")
     # The two runs at a shard's ends are never one run: another value lies between or the values differ.
     new = (F.col("end") == 1) | F.lag("run.value").over(order).isNull() | (F.lag("run.value").over(order) != F.col("run.value"))
     island = pieces.withColumn("island", F.sum(F.when(new, 1).otherwise(0)).over(order))
     whole = Window.partitionBy("series", "island")
-    total = island.select("series", "first", "last", "end", F.struct(F.min("run.t0").over(whole).alias("t0"), F.max("run.t1").over(whole).alias("t1"), F.sum("run.n").over(whole).alias("n")).alias("run"))
-    runs = total.groupBy("series", "first", "last").agg(F.min_by("run", "end").alias("head_run"), F.max_by("run", "end").alias("tail_run"))
-    near = summaries.select("series", "first", "last", F.lag("tail").over(along("series")).alias("before"), F.lead("head").over(along("series")).alias("after"))
-    return near.join(runs, ["series", "first", "last"])
+    total = island.select("series", "shard", "end", F.struct(F.min("run.t0").over(whole).alias("t0"), F.max("run.t1").over(whole).alias("t1"), F.sum("run.n").over(whole).alias("n")).alias("run"))
+    runs = total.groupBy("series", "shard").agg(F.min_by("run", "end").alias("head_run"), F.max_by("run", "end").alias("tail_run"))
+    # Shards with readings of their own are numbered; the others, all copies, follow the last of these.
+    numbered = summaries.select("series", "shard", "copied", "n", "head", "tail", F.sum((F.col("n") > 0).cast("long")).over(along("series").rowsBetween(Window.unboundedPreceding, 0)).alias("place"))
+    own = numbered.where("n > 0")
+    back = F.flatten(F.collect_list("tail").over(along("series").rowsBetween(-HALO - 1, -1)))
+    upto = F.flatten(F.collect_list("tail").over(along("series").rowsBetween(-HALO - 1, 0)))
+    ahead = F.flatten(F.collect_list("head").over(along("series").rowsBetween(1, HALO + 1)))
+    near = own.select(F.col("series").alias("__series"), F.col("place").alias("__place"), *[F.slice(x, F.greatest(F.size(x) - HALO, F.lit(1)), F.lit(HALO + 1)).alias(c) for c, x in (("back", back), ("upto", upto))], F.slice(ahead, 1, HALO + 1).alias("after"))
+    near = numbered.join(near, (F.col("series") == F.col("__series")) & (F.col("place") == F.col("__place")))
+    near = near.select("series", "shard", "copied", F.when(F.col("n") > 0, F.col("back")).otherwise(F.col("upto")).alias("before"), "after")
+    return near.join(runs, ["series", "shard"])
 
 
 def _habits(shards: DataFrame) -> DataFrame:
@@ -164,8 +182,11 @@ def _habits(shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {"series": [], "kind": [], "bin": [], "n": []}
-            for series, at, v, before, after in zip(*(b.column(c) for c in ("series", "at", "v", "before", "after")), strict=True):
-                x, lo, hi = _extended(at, v, before, after)[:3]
+            for series, at, v, copied, before, after in zip(*(b.column(c) for c in ("series", "at", "v", "copied", "before", "after")), strict=True):
+                x, lo, hi = _extended(at, v, copied, before, after)[:3]
+                lo += copied.as_py()  # counted where it is the last reading
+                if lo == hi:
+                    continue
                 steps = np.abs(np.diff(x[: hi + 1]))[max(lo - 1, 0) :]
                 for kind, values in (("step", steps), ("excursion", excursions(x)[0][lo:hi])):
                     bins, n = np.unique(_bin(values[values > 0]), return_counts=True)
@@ -175,7 +196,7 @@ def _habits(shards: DataFrame) -> DataFrame:
                     out["n"] += n.tolist()
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("series", pa.string()), ("kind", pa.string()), ("bin", pa.int64()), ("n", pa.int64())]))
 
-    bins = shards.select("series", "at", "v", "before", "after").mapInArrow(run, "series string, kind string, bin long, n long").groupBy("series", "kind", "bin").agg(F.sum("n").alias("n"))
+    bins = shards.select("series", "at", "v", "copied", "before", "after").mapInArrow(run, "series string, kind string, bin long, n long").groupBy("series", "kind", "bin").agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("series", "kind").orderBy("bin"))
     total = F.sum("n").over(Window.partitionBy("series", "kind"))
     summed = bins.withColumn("upto", upto).withColumn("total", total)
@@ -187,13 +208,14 @@ def _habits(shards: DataFrame) -> DataFrame:
     return summed.groupBy("series").agg(reached("step", "total * 0.5").alias("noise"), reached("step", "(total - 6) * 0.97").alias("jump"), reached("excursion", "(total - 4) * 0.9").alias("usual"))
 
 
-def _extended(at, v, before, after) -> tuple[np.ndarray, int, int, np.ndarray, np.ndarray]:
+def _extended(at, v, copied, before, after) -> tuple[np.ndarray, int, int, np.ndarray, np.ndarray]:
     """The shard's readings without copies between the neighbours' last and first; where its own begin and end; their times; each row's reading."""
     t, x = at.values.to_numpy(), v.values.to_numpy()
     keep = _firsts(t, x)
     of_row = np.zeros(len(t), np.int64)
     of_row[keep[1:]] = 1
-    b = before.values.to_numpy()[-HALO:] if before.is_valid else np.empty(0)
+    b = before.values.to_numpy() if before.is_valid else np.empty(0)
+    b = (b[:-1] if copied.as_py() else b)[-HALO:]
     a = after.values.to_numpy()[:HALO] if after.is_valid else np.empty(0)
     return np.concatenate([b, x[keep], a]), len(b), len(b) + len(keep), t[keep], np.cumsum(of_row)
 
@@ -233,7 +255,7 @@ def implausible(
     series = long_form(df, fields, device, time, row, batch)
     shards = written(pack(series, "series", "at", ["v", "rid"], ["rid", "at", "v"], rows_per_shard), "spikes-shards")
     at_border = written(borders(_summaries(shards)), "spikes-borders")
-    keys = ["series", "first", "last"]
+    keys = ["series", "shard"]
     full = shards.join(at_border, keys)
     full = full.join(_habits(full), "series", "left")
 
@@ -243,7 +265,7 @@ def implausible(
             for i in range(b.num_rows):
                 cell = {c: b.column(c)[i] for c in b.schema.names}
                 field = cell["series"].as_py().split("|", 1)[0]
-                x, lo, hi, t, of_row = _extended(cell["at"], cell["v"], cell["before"], cell["after"])
+                x, lo, hi, t, of_row = _extended(cell["at"], cell["v"], cell["copied"], cell["before"], cell["after"])
                 own = x[lo:hi]
                 # Spikes.
                 flat = cell["noise"].as_py() or 0.0

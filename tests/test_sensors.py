@@ -235,3 +235,33 @@ def test_points_in_polygons_and_full_cells(spark, monkeypatch):
         return hit
 
     assert got == {n for n, la, lo in points if inside(la, lo)}
+
+
+def crowded():
+    """Two devices, one of them with far more rows at some times than 8 shards of two rows hold: copies, other values, and none."""
+    rows = noisy(60) + noisy(40, seed=2, device="d2", first=5_000)
+    rows[20]["t8"], rows[29]["t8"] = 90.0, None
+    more = [dict(rows[20]) for _ in range(50)] + [dict(rows[30]) for _ in range(45)] + [dict(rows[30], t8=39.0 + (k % 7) / 8, x2=None) for k in range(40)]
+    more += [dict(rows[40], x2=None, t8=None) for _ in range(35)] + [dict(rows[29]) for _ in range(20)] + [dict(rows[50], x2=0.06, t8=41.0 + k / 64) for k in range(37)]
+    return rows + [dict(r, reading_id=10_000 + k) for k, r in enumerate(more)]
+
+
+@pytest.mark.parametrize("per_shard", [1, 2, 5])
+def test_many_rows_of_one_time_in_several_shards(spark, per_shard):
+    rows = crowded()
+    df = frame(spark, rows)
+    cut, whole = ([tuple(r) for r in implausible(df, BOUNDS, idle={"x2": 0.001}, stuck_readings=2, stuck_minutes=0, rows_per_shard=n).collect()] for n in (per_shard, 20_000))
+    assert sorted((r[:4] for r in cut), key=str) == sorted((r[:4] for r in whole), key=str) and sum(r[0] > 9_999 for r in whole) > 50
+    assert len({(r[0], r[1], r[3]) for r in cut}) == len(cut)
+
+    cut, whole = (sorted((tuple(r) for r in fill_missing(df, {"x2": None, "t8": None}, categories=("deviceType",), rows_per_shard=n).collect()), key=str) for n in (per_shard, 20_000))
+    assert cut == whole and len({r[:2] for r in cut}) == len(cut) > 100
+
+    got = {n: {(r.deviceId, r.slot_epoch): r for r in regular(df, ["x2", "t8"], rows_per_shard=n).collect()} for n in (per_shard, 20_000)}
+    assert regular(df, ["x2", "t8"], rows_per_shard=per_shard).count() == len(got[per_shard])
+    assert set(got[per_shard]) == set(got[20_000])
+    for k, b in got[20_000].items():
+        a = got[per_shard][k]
+        assert (a.n_readings, a.x2_state, a.t8_state) == (b.n_readings, b.x2_state, b.t8_state)
+        assert (a.x2, a.t8) == (pytest.approx(b.x2, rel=1e-12), pytest.approx(b.t8, rel=1e-12))
+    assert max(r.n_readings for r in got[20_000].values()) == 38

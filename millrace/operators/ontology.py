@@ -38,16 +38,19 @@ def levels(edges: DataFrame, nodes: DataFrame, limit: int = 1_000) -> DataFrame:
     """(node, level): the length of the longest path from a root; nodes on a cycle or below one are left out.
 
     The order of ``level`` is a topological order, found by peeling: a round takes the nodes whose parents are all taken.
+    More than ``limit`` levels below the roots raise.
     """
     step = written(edges.select("child", "parent").distinct(), "level-edges")
     left = nodes.select("node").where("node is not null").distinct()
     done = None
-    for level in range(limit + 1):
+    for level in range(limit + 2):
         held = step.join(left, F.col("parent") == F.col("node"), "left_semi").select("child").distinct()
         round_ = written(left.join(held, F.col("node") == F.col("child"), "left").select("node", F.col("child").isNull().alias("free")), "levels")
         free = round_.where("free").select("node", F.lit(level).alias("level"))
         if free.isEmpty():
             break
+        if level > limit:
+            raise RuntimeError(f"there are more than {limit} levels")
         done = free if done is None else done.unionByName(free)
         left = round_.where("not free").select("node")
     return done if done is not None else left.withColumn("level", F.lit(0)).limit(0)

@@ -322,3 +322,11 @@ def test_page_parts():
 def test_shuffled_folds_are_even():
     f = multilabel.shuffled_folds(23)
     assert np.bincount(f).tolist() == [5, 5, 5, 4, 4] and (f == multilabel.shuffled_folds(23)).all()
+
+
+def test_levels_beyond_the_limit_raise(spark):
+    edges = spark.createDataFrame([(2, 1), (3, 2), (4, 3)], "child long, parent long")
+    nodes = spark.createDataFrame([(n,) for n in (1, 2, 3, 4)], "node long")
+    assert {tuple(r) for r in ontology.levels(edges, nodes, limit=3).collect()} == {(1, 0), (2, 1), (3, 2), (4, 3)}
+    with pytest.raises(RuntimeError):
+        ontology.levels(edges, nodes, limit=2)

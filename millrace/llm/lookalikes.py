@@ -92,10 +92,14 @@ def _ordinals() -> dict[int, str]:
     return {ord(c): to for c, to in {**single, **several}.items()}
 
 
-def _changing() -> Callable[[str], re.Match | None]:
-    """Searches for a character of the tables, or one that composition may change."""
+def changing_pattern() -> str:
+    """A class of all characters of the tables but the tab, and of those that composition may change."""
     single, several = tables()
-    return re.compile("[" + "".join(map(re.escape, {*single, *several})) + "\u0300-\u036f\u2126\u212a\u212b\u1100-\u11ff\u3099\u309a]").search
+    return "[" + "".join(c if ord(c) > 127 else re.escape(c) for c in sorted({*single, *several} - {"\t"})) + "\u0300-\u036f\u2126\u212a\u212b\u1100-\u11ff\u3099\u309a]"
+
+
+def _changing() -> Callable[[str], re.Match | None]:
+    return re.compile(changing_pattern() + "|\t").search
 
 
 def _accented() -> tuple[Callable[[str], re.Match | None], dict[int, str]]:

@@ -212,3 +212,25 @@ def test_percentiles(spark, error):
             want = values[max(math.ceil(s * len(values) - 1e-9), 1) - 1]
             assert got[g, s][1] == len(values) and abs(got[g, s][0] - want) <= error * abs(want) * 1.0000001 + 1e-12
     assert percentiles.percentiles(percentiles.frequencies(df.limit(0), ["g"], "x"), ["g"], shares).count() == 0
+
+
+def test_words_by_number():
+    texts = ["", "One two-three vier", "   ", "ЇЖАК їжак x", "one", "a" * 70_000 + " ß"]
+    even = [leaks.evened(t) for t in texts]
+    starts, numbers = leaks.numbered(even)
+    words = [w for t in texts for w in leaks.words_of(t)]
+    assert np.diff(starts).tolist() == [len(leaks.words_of(t)) for t in texts]
+    assert len({*numbers.tolist()}) == len({*words}) and [words.index(w) for w in words] == [numbers.tolist().index(n) for n in numbers]
+    h = leaks.shingles(numbers, starts)
+    assert ((h == 0) == np.concatenate([np.arange(n) >= n - leaks.SHINGLE + 1 for n in np.diff(starts)])).all()
+
+
+def test_stock_sentences_of_leaks(spark):
+    rng = random.Random(8)
+    closing = "Answer with the number and its unit, or say unknown when no sensor of this site was ever read at all."
+    own = [sentence(rng, 28) for _ in range(5)]
+    items = spark.createDataFrame([(k, f"{' '.join(w)}. {closing}") for k, w in enumerate(own)], "item_id long, text string")
+    rows = [(k, f"{' '.join(w)}. {closing}") for k, w in enumerate(own[:2])] + [(7, " ".join(own[3][8:]) + ". " + closing)]
+    got = {(r.item_id, r.doc_id) for r in leaks.leaked(docs(spark, rows), items, block_words=10).collect()}
+    assert got == {(0, 0), (1, 1)}
+    assert {(r.item_id, r.doc_id) for r in leaks.leaked(docs(spark, rows), items, stock_items=6).collect()} == {(0, 0), (1, 1), (3, 7)}

@@ -1,33 +1,47 @@
 """Filling containers of fixed capacity with texts: a grouping genetic algorithm on islands."""
 
 import base64
+import hashlib
+import os
 import random
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.shared import written
+from millrace.plans.shared import once, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the public byte-level vocabulary splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PER_SHARD = 2_000
+LARGEST_VOCABULARY = 64_000_000  # bytes of a ranks file that is sent to the workers
 
 
 def token_counts(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """(doc, n_tokens) of every document with an id and a text, counted by a public tokenizer's ranks file."""
+    """(doc, n_tokens) of every document with an id and a text, counted by a public tokenizer's ranks file.
+
+    The file is read by the driver and sent to the workers, which need not have it; a file over LARGEST_VOCABULARY raises.
+    """
+    if os.path.getsize(tokenizer) > LARGEST_VOCABULARY:
+        raise ValueError(f"{tokenizer} has more than {LARGEST_VOCABULARY} bytes")
+    with open(tokenizer, "rb") as held:
+        content = held.read()
+    name = f"tokenizer {hashlib.sha256(content + pattern.encode()).hexdigest()}"
+    shared = docs.sparkSession.sparkContext.broadcast(content)
     source = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     kind = dict(source.dtypes)["doc"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import tiktoken
+        def encoder() -> Callable[[str], list[int]]:
+            import tiktoken
+
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
+            return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-        with open(tokenizer, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encode = once(name, encoder)
         for b in batches:
             yield pd.DataFrame({"doc": b["doc"], "n_tokens": [len(encode(t)) for t in b["text"]]})
 
@@ -161,6 +175,8 @@ def pack(items: DataFrame, capacity: int, *, islands: int = 3, population: int =
         for epoch in range(epochs):
             state = _epoch(state, kind, capacity, seed + 1000 * round_ + epoch, population, generations)
             if epoch < epochs - 1:
+                # Read twice, by the islands themselves and by those that their elites migrate to.
+                state = written(state, f"packing-{round_}-{epoch}")
                 own = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.slice("elites", 1, 1).alias("migrants"))
                 state = state.join(own, ["shard", "island"]).select("shard", "ids", "sizes", "island", F.concat("elites", "migrants").alias("elites"))
         best = state.groupBy("shard").agg(F.min_by(F.struct("ids", "sizes", F.get("elites", F.lit(0)).alias("of")), F.struct(F.array_max(F.get("elites", F.lit(0))), F.col("island"))).alias("b"))

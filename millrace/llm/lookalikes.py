@@ -12,18 +12,26 @@ from pyspark.sql import functions as F
 
 from millrace.plans.shared import once, written
 
-# Greek, Cyrillic and other letters and signs that look like a Latin letter or an ASCII sign.
+# Greek, Cyrillic, Armenian, Cherokee, Lisu, Coptic and other letters and signs that look like a Latin letter or an ASCII sign.
 LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ϳ": "j",
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ԁ": "D", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ӏ": "l",
-    "Ϲ": "C", "ϲ": "c", "Ϳ": "J", "ѵ": "v", "ɑ": "a", "ɡ": "g", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z",
+    "Ϲ": "C", "ϲ": "c", "Ϳ": "J", "ν": "v", "ѵ": "v", "ɑ": "a", "ɡ": "g", "ᴄ": "c", "ᴏ": "o", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s",
+    "Օ": "O", "Ս": "U", "Տ": "S", "օ": "o", "ո": "n", "հ": "h", "ս": "u", "զ": "q", "ց": "g", "յ": "j",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮢ": "R", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    "Ⲏ": "H", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲭ": "X",
     "‐": "-", "‑": "-", "‒": "-", "−": "-", "﹣": "-", "ʼ": "'", "․": ".", "‚": ",", "∕": "/", "⁄": "/", "∶": ":", "ː": ":", "∣": "|", "ǀ": "|", "¸": ",", "˗": "-", "∼": "~", "˜": "~", "Ꞌ": "'", "‧": "·", "∙": "·", "⋅": "·", "∆": "Δ", "∑": "Σ", "∏": "Π",
 }
 # These are told apart by the eye although compatibility would join them.
 _DIFFERENT = {"ſ", "ẛ"}
 _BLANKS = [c for c in map(chr, range(0x10000)) if unicodedata.category(c) == "Zs" and c != " "]
-_RANGES = [(0xA0, 0x530), (0x1D00, 0x2000), (0x2000, 0x2070), (0x20A0, 0x2190), (0x2200, 0x2300), (0x3000, 0x3001), (0xFB00, 0xFB07), (0xFE50, 0xFE70), (0xFF01, 0xFFF0)]
+# Blocks with letters and signs of several forms or looks, and with invisible characters.
+_RANGES = [
+    (0xA0, 0x590), (0x13A0, 0x1400), (0x1D00, 0x2000), (0x2000, 0x2070), (0x20A0, 0x2190), (0x2200, 0x2300), (0x2C80, 0x2D00), (0x3000, 0x3001), (0xA4D0, 0xA500), (0xA720, 0xA800),
+    (0xFB00, 0xFB18), (0xFE50, 0xFE70), (0xFF01, 0xFFF0), (0x1D400, 0x1D800), (0x1EE00, 0x1EF00), (0xE0000, 0xE0080),
+]
 _SAME_FORM = {"<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>", "<small>"}
 
 
@@ -59,7 +67,7 @@ def _tables() -> tuple[dict[str, str], dict[str, str]]:
             (single if len(out) == 1 else several)[c] = out
     for c in _BLANKS:
         single[c] = " "
-    for c in ("​", "‌", "‍", "‎", "‏", "⁠", "⁡", "⁢", "⁣", "⁤", "﻿", "­", "͏", "؜", "᠎", *map(chr, range(0x202A, 0x202F)), *map(chr, range(0x2066, 0x2070)), *map(chr, range(0xFE00, 0xFE10))):
+    for c in ("​", "‌", "‍", "‎", "‏", "⁠", "⁡", "⁢", "⁣", "⁤", "﻿", "­", "͏", "؜", "᠎", *map(chr, range(0x202A, 0x202F)), *map(chr, range(0x2066, 0x2070)), *map(chr, range(0xFE00, 0xFE10)), *map(chr, range(0xE0100, 0xE01F0))):
         single[c] = ""
     return single, several
 

@@ -178,20 +178,28 @@ def canonical(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> Da
 def pairs(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_a, doc_b), smaller first: the documents of one class with different texts, each pair once.
 
-    Pairs are formed between the different texts of a class, then spread over their copies; copies of hot texts are
-    salted, so that no task holds all copies of one.
+    Pairs are formed between the different texts of a class, then spread over their copies; texts of large classes and copies
+    of hot texts are in several shares, so that no task holds all of one.
     """
     members, found = classes(docs, doc=doc, text=text)
-    different = found.alias("a").join(found.alias("b"), (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a.exact") < F.col("b.exact"))).select(F.col("a.exact").alias("ea"), F.col("b.exact").alias("eb"))
-    copies = members.join(found.select("key", "exact"), ["key", "exact"])
-    salts = copies.groupBy("exact").agg(F.ceil(F.count("*") / 10_000).cast("int").alias("salts"))
-    left = copies.join(salts, "exact").select("exact", F.col("doc").alias("da"), F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"))
-    spread = different.join(salts, F.col("ea") == F.col("exact")).select("ea", "eb", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    half = spread.join(left, (F.col("ea") == F.col("exact")) & (spread["salt"] == left["salt"])).select("eb", "da")
-    both = half.join(copies.select("exact", F.col("doc").alias("db")), F.col("eb") == F.col("exact"))
+    of_class = found.select("class_id", "exact")
+    different = _salted(of_class.select("class_id", F.col("exact").alias("ea")), of_class.select("class_id", F.col("exact").alias("eb")), "class_id", "ea", 1_000).where("ea < eb").select("ea", "eb")
+    copies = members.join(found.select("key", "exact"), ["key", "exact"]).select("exact", "doc")
+    half = _salted(copies.select(F.col("exact").alias("ea"), F.col("doc").alias("da")), different, "ea", "da", 10_000)
+    both = _salted(half.select("eb", "da"), copies.select(F.col("exact").alias("eb"), F.col("doc").alias("db")), "eb", "da", 10_000)
     return both.select(F.least("da", "db").alias("doc_a"), F.greatest("da", "db").alias("doc_b")).distinct()
 
 
+def _salted(left: DataFrame, right: DataFrame, key: str, by: str, most: int) -> DataFrame:
+    """left joined to right on key; a key of more than ``most`` rows of left has them in several shares, by a hash of ``by``,
+
+    to each of which its rows of right go."""
+    shares = left.groupBy(F.col(key).alias("__key")).agg(F.ceil(F.count("*") / most).cast("int").alias("__shares"))
+    own = left.join(shares, F.col(key) == F.col("__key")).withColumn("__share", F.pmod(F.xxhash64(by), F.col("__shares")).cast("int")).drop("__key", "__shares")
+    spread = right.join(shares, F.col(key) == F.col("__key")).withColumn("__share", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1))).drop("__key", "__shares")
+    return own.join(spread, [key, "__share"]).drop("__share")
+
+
 def normalised(docs: DataFrame, *, text: str = "text", out: str = "one_form") -> DataFrame:
     """docs with the text's form for comparison in a further column; null stays null."""
     return docs.withColumn(out, one_form(F.col(text)))

@@ -169,8 +169,8 @@ def _above(water: Water, line: int) -> str | None:
         # Directives such as //go:build are no documentation.
         rows = [r[2:].removeprefix(" ") for r in reversed(rows) if not re.match(r"//[a-z]+:\S|//(nolint|line )", r)]
         return "\n".join(rows) if rows else None
-    while k >= 1 and re.match(r"\s*@\w[\w.]*\s*(\(.*\))?\s*$", water.lines[k - 1]):
-        k -= 1
+    while begin := _annotation(water, k):
+        k = begin - 1
     if k < 1 or not water.lines[k - 1].rstrip().endswith("*/"):
         return None
     close = water.starts[k - 1] + len(water.lines[k - 1].rstrip())
@@ -183,6 +183,25 @@ def _above(water: Water, line: int) -> str | None:
     return cleaned(water.text[begin:close])
 
 
+def _annotation(water: Water, line: int) -> int | None:
+    """The line on which the annotations begin that end with a line: names after @, each maybe with arguments in brackets,
+
+    over any number of lines; None where no annotation ends there."""
+    end = water.starts[line - 1] + len(water.lines[line - 1]) if line >= 1 else 0
+    k = line
+    # Statements and comments end above annotations; inside an annotation's brackets they don't.
+    while k >= 1 and water.lines[k - 1].strip() and not water.lines[k - 1].rstrip().endswith((";", "*/")):
+        pos = water.starts[k - 1]
+        while m := re.compile(r"\s*@\w[\w.]*[ \t]*").match(water.text, pos, end):
+            pos = m.end()
+            if water.text.startswith("(", pos):
+                pos = water.balanced(pos + 1, ")") + 1 or end + 1
+        if pos > water.starts[k - 1] and pos <= end and not water.text[pos:end].strip():
+            return k
+        k -= 1
+    return None
+
+
 def text_begin(water: Water, close: int) -> int | None:
     """Where the block comment that ends at a place begins."""
     span = water.covered(close - 1)

@@ -240,3 +240,20 @@ def test_paired(spark):
     assert good == {(1, "f"), (1, "h"), (3, "Sum"), (4, "z"), (9, "gone")}
     assert every[1, "f", 6].code.startswith("    def f(") and every[2, "add", 11].documentation == "Adds { up."
     assert paired(e.limit(0), f).count() == 0 and paired(e, f.limit(0)).count() == 2
+
+
+def test_annotations_over_several_lines():
+    source = """class A {
+  /** Counts what is left. */
+  @Foo(
+    a = {"x;", "y"},
+    b = 3 // why)
+  )
+  @Bar @Baz("q")
+  int run(int a) { return 1; }
+  int x = 3;
+  @Three("a")
+  void four() {}
+}
+"""
+    assert [(i.name, i.doc) for i in islands(source, "java")] == [("run", "Counts what is left."), ("four", None)]

@@ -89,37 +89,35 @@ def form(text: str) -> str:
     """The text in the form for comparison: mapped by ``tables``, with composed accents."""
     if text.isascii():
         return text.replace("\t", " ")
-    # Most texts hold no character that changes, which a search finds out faster than a translation.
-    if not once("look-alike search", _changing)(text):
+    # Few characters change, which a search finds faster than a translation of each.
+    changing = once("look-alike search", _changing)
+    if not changing.search(text):
         return text
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).translate(once("look-alike ordinals", _ordinals)))
-
-
-def _ordinals() -> dict[int, str]:
     single, several = tables()
-    return {ord(c): to for c, to in {**single, **several}.items()}
+    return unicodedata.normalize("NFC", changing.sub(lambda m: single.get(c := m[0], several.get(c, c)), unicodedata.normalize("NFC", text)))
 
 
 def changing_pattern() -> str:
-    """A class of all characters of the tables but the tab, and of those that composition may change."""
+    """A class of all characters of the tables but the tab, and of those that composition may change.
+
+    The rare characters beyond the basic plane are one range, as single ones are slow to search for."""
     single, several = tables()
-    return "[" + "".join(c if ord(c) > 127 else re.escape(c) for c in sorted({*single, *several} - {"\t"})) + "\u0300-\u036f\u2126\u212a\u212b\u1100-\u11ff\u3099\u309a]"
+    return "[" + "".join(c if ord(c) > 127 else re.escape(c) for c in sorted({*single, *several} - {"\t"}) if ord(c) < 0x10000) + "\u0300-\u036f\u2126\u212a\u212b\u1100-\u11ff\u3099\u309a\U00010000-\U0010ffff]"
 
 
-def _changing() -> Callable[[str], re.Match | None]:
-    return re.compile(changing_pattern() + "|\t").search
+def _changing() -> re.Pattern:
+    return re.compile("[\t" + changing_pattern()[1:])
 
 
-def _accented() -> tuple[Callable[[str], re.Match | None], dict[int, str]]:
+def _accented() -> tuple[Callable[[Callable[[re.Match], str], str], str], Callable[[re.Match], str]]:
     letters = _bare()
-    return re.compile("[" + "".join(map(re.escape, letters)) + "]").search, {ord(c): to for c, to in letters.items()}
+    return re.compile("[" + "".join(map(re.escape, letters)) + "]").sub, lambda m: letters[m[0]]
 
 
 def key_of(text: str) -> bytes:
     """A digest that texts which look the same share: of the form for comparison without accents."""
-    search, letters = once("look-alike accents", _accented)
-    plain = form(text)
-    return md5(plain.translate(letters).encode("utf-8", "surrogatepass") if search(plain) else plain.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+    bare, letter = once("look-alike accents", _accented)
+    return md5(bare(letter, form(text)).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
 
 
 def one_form(text: Column) -> Column:

@@ -234,3 +234,17 @@ def test_stock_sentences_of_leaks(spark):
     got = {(r.item_id, r.doc_id) for r in leaks.leaked(docs(spark, rows), items, block_words=10).collect()}
     assert got == {(0, 0), (1, 1)}
     assert {(r.item_id, r.doc_id) for r in leaks.leaked(docs(spark, rows), items, stock_items=6).collect()} == {(0, 0), (1, 1), (3, 7)}
+
+
+def test_forms_of_further_scripts():
+    want = {"𝐀": "A", "𝟎": "0", "ꓮ": "A", "Ꭺ": "A", "ν": "v", "Օ": "O", "\U000e0041": "", "\U000e0101": "", "①": "①", "²": "²", "α": "α", "😀": "😀", "𝛼": "α"}
+    assert {c: lookalikes.form("x" + c)[1:] for c in want} == want
+    assert lookalikes.key_of("ｘ\té") == lookalikes.key_of("x é") == lookalikes.key_of("x e")
+
+
+def test_pairs_of_a_large_class(spark):
+    texts = [(k, "abc" if k % 3 == 0 else "аbc" if k % 3 == 1 else "ab​c") for k in range(30)]
+    frame = docs(spark, texts)
+    left, right = (spark.range(50).selectExpr("id % 2 AS k", f"id AS {c}") for c in "ab")
+    assert {(r.k, r.a, r.b) for r in lookalikes._salted(left, right, "k", "a", 3).collect()} == {(a % 2, a, b) for a in range(50) for b in range(a % 2, 50, 2)}
+    assert {(r.doc_a, r.doc_b) for r in lookalikes.pairs(frame).collect()} == {(a, b) for a in range(30) for b in range(a + 1, 30) if a % 3 != b % 3}

@@ -85,15 +85,16 @@ def zero_filled(records: DataFrame, waves: DataFrame, leads: list[str] = LEADS,
 
 
 def train_validation(waves: DataFrame, ratio: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Waves split by record: about ``ratio`` of the records (one at least) for validation, in the order of a hash; fewer than two records are in both."""
-    records = waves.select("record").distinct()
+    """Waves split by record: the records whose hash falls into the first ``ratio`` (of all, the one of the smallest hash at
+
+    least) are for validation; fewer than two records are in both. Nothing is ranked: records are compared with a threshold.
+    """
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), "record"))
-    # One row: how many records there are.
-    n = records.agg(F.count("*").alias("n"))
-    ranked = records.crossJoin(F.broadcast(n)).withColumn("r", F.row_number().over(Window.orderBy(h, "record")))
-    held = ranked.where(F.col("r") <= F.greatest(F.lit(1), F.round(F.col("n") * ratio))).select("record", "n")
-    few = held.where("n < 2").select("record")
-    return waves.join(held.where("n >= 2").select("record"), "record", "left_anti"), waves.join(held.select("record").unionByName(few).distinct(), "record", "left_semi")
+    # One row: the first record by hash, and whether there is another.
+    first = waves.where("record is not null").agg(F.min(F.struct(h.alias("h"), "record")).alias("__first"), (F.min("record") != F.max("record")).alias("__more"))
+    marked = waves.where("record is not null").crossJoin(F.broadcast(first))
+    held = (F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / 2**32 < ratio) | (F.col("record") == F.col("__first.record"))
+    return marked.where(~held | ~F.col("__more")).drop("__first", "__more"), marked.where(held | ~F.col("__more")).drop("__first", "__more")
 
 
 def scale_of(waves: DataFrame, by: list[str]) -> DataFrame:
@@ -219,18 +220,14 @@ def row_bands(mask: np.ndarray, rows: int = 3) -> list[tuple[int, int]]:
 
 
 def column_bands(mask: np.ndarray, columns: int = 4) -> list[tuple[int, int]]:
-    """A strip's leads: cut at the least inked column near each even cut."""
+    """A strip's leads: even cuts, each moved to the least inked column (the first of equal ones) within a sixtieth of the width, 5 at least."""
     w = mask.shape[1]
-    profile = mask.sum(axis=0) / 255.0
-    radius = max(5, w // 60)
-    cuts = [0]
-    for k in range(1, columns):
-        at = round(w * k / columns)
-        lo = max(0, at - radius)
-        near = profile[lo : min(w, at + radius + 1)]
-        cuts.append(lo + int(near.argmin()) if len(near) else at)
-    cuts.append(w)
-    return [(a, max(a + 1, b) - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    drawn = mask.sum(axis=0, dtype=np.int64)
+    even = np.rint(np.arange(1, columns) * w / columns).astype(int)
+    reach = max(5, w // 60)
+    moved = [max(0, at - reach) + int(np.argmin(near)) if len(near := drawn[max(0, at - reach) : at + reach + 1]) else at for at in even.tolist()]
+    starts, ends = [0, *moved], [*moved, w]
+    return [(a, max(a, b - 1)) for a, b in zip(starts, ends, strict=True)]
 
 
 def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
@@ -292,6 +289,7 @@ def _kept(mask: np.ndarray, labels: np.ndarray, keep: np.ndarray) -> np.ndarray:
     return np.where(np.concatenate([[False], keep])[labels], 255, 0).astype(np.uint8)
 
 
+# The shares and sizes in without_text and without_vertical.
 def without_text(mask: np.ndarray, area: float = 0.02, width: float = 0.18, height: float = 0.35) -> np.ndarray:
     """The mask without parts like letters: within shares of the page's area, width and height (8 at least), off its left and top edges."""
     h, w = mask.shape
@@ -351,11 +349,17 @@ def crop_box(mask: np.ndarray, grid: np.ndarray | None = None, pad: int = 12, ro
     return left, top, right, bottom
 
 
+def _cells(mask: np.ndarray) -> Iterator[tuple[str, slice, slice]]:
+    for names, (y0, y1) in zip(LAYOUT, row_bands(mask), strict=True):
+        for name, (x0, x1) in zip(names, column_bands(mask[y0 : y1 + 1]), strict=True):
+            yield name, slice(y0, y1 + 1), slice(x0, x1 + 1)
+
+
 def split_leads(mask: np.ndarray) -> dict[str, np.ndarray]:
     """The part of a page's mask for each lead of LAYOUT."""
-    out = {}
-    for names, (y0, y1) in zip(LAYOUT, row_bands(mask), strict=True):
-        strip = mask[y0 : y1 + 1]
-        for name, (x0, x1) in zip(names, column_bands(strip), strict=True):
-            out[name] = strip[:, x0 : x1 + 1]
-    return out
+    return {name: mask[y, x] for name, y, x in _cells(mask)}
+
+
+def split_leads_like(mask: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
+    """The parts of another array of the page where the mask's leads are."""
+    return [other[y, x] for _, y, x in _cells(mask)]

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from millrace.functions.nulls import clip
 from millrace.operators.quantiles import median, nearest_quantile
 
+UNTIMED = 10_000  # ties to a bucket of rows without time
+
 
 def utc_time(c: Column | str) -> Column:
     """A text like ``2025-04-01 12:00:00 UTC`` as a time without zone; anything else is null."""
@@ -30,12 +32,15 @@ def winsorized(df: DataFrame, key: str, column: str, q: float, training: Column)
 def lagged(df: DataFrame, key: str, time: str, tie: str, columns: dict[str, tuple[str, int]], bucket: str = "DAY") -> DataFrame:
     """df with columns {name: (source, n)}: the source's value n rows before, in the key's order of time (nulls first), then tie.
 
-    A key's rows are spread over buckets of time; each bucket is ordered by itself, and only the last rows of the buckets
-    before, found by a window over one short row a bucket, cross its border. tie must make the order total.
+    A key's rows are spread over buckets of time, those without time over buckets of a whole-number tie (of any other
+    tie they are one bucket); each bucket is ordered by itself, and only the last rows of the buckets before, found by
+    a window over one short row a bucket, cross its border. tie must make the order total.
     """
     most = max(n for _, n in columns.values())
     sources = sorted({s for s, _ in columns.values()})
-    b = df.withColumn("__bucket", F.date_trunc(bucket, F.col(time)).cast("timestamp_ntz"))
+    whole = dict(df.dtypes)[tie] in ("tinyint", "smallint", "int", "bigint")
+    untimed = F.when(F.col(time).isNull(), F.floor(F.col(tie) / UNTIMED)) if whole else F.lit(None)
+    b = df.withColumn("__bucket", F.struct(F.date_trunc(bucket, F.col(time)).cast("timestamp_ntz").alias("t"), untimed.cast("long").alias("u")))
     within = Window.partitionBy(key, "__bucket").orderBy(F.col(time).asc_nulls_first(), tie)
     b = b.withColumn("__rn", F.row_number().over(within))
     values = F.struct(F.lit(1).alias("__row"), *sources)

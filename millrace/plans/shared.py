@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir. Only where that is unset (tests) a local one is made."""
+    """The cluster's shared folder, spark.checkpoint.dir. Where that is unset a local one is made for a local master; a cluster
+
+    without it raises, as its workers wouldn't find one another's files."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -27,9 +31,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(folder(spark), "millrace", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    removed_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed_at_end(spark: SparkSession, path: str) -> None:
+    """Has a path deleted when the driver ends."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def once(name: str, make: Callable[[], Any]) -> Any:

@@ -8,6 +8,12 @@ STOP_WORDS = """and as break class cls continue def elif else enumerate except F
 None not or pass print raise range return self True try while with yield zip""".split()
 
 
+# Python's keywords in lower case, and names too common to search for.
+KEYWORDS = """and as assert async await break class continue def del elif else except false finally for from global if import in is
+lambda none nonlocal not or pass raise return true try while with yield""".split()
+KNOWN_NAMES = """self cls print len range enumerate zip super object int str list dict set""".split()
+
+
 def code_tokens(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits, camel case and underscores split; null for null."""
     split = F.regexp_replace(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2"), "([A-Z])([A-Z][a-z])", "$1 $2")
@@ -29,6 +35,19 @@ def identifiers(code: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: w.rlike("^[a-zA-Z_][a-zA-Z0-9_]+$") & ~F.array_contains(stop, w)))
 
 
+def code_identifiers(code: Column) -> Column:
+    """Identifiers of Python code outside comments and texts, of two or more characters, in order of first use, without
+
+    keywords and KNOWN_NAMES; case doesn't matter, the first spelling stays. Texts over several lines count as their rows.
+    """
+    plain = F.regexp_replace(code, r"#[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", " ")
+    words = F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}\p{M}_]+"), F.lit(0))
+    known = F.array(*[F.lit(w) for w in [*KEYWORDS, *KNOWN_NAMES]])
+    kept = F.filter(words, lambda w: w.rlike(r"^[\p{L}_][\p{L}\p{N}\p{M}_]+$") & ~F.array_contains(known, F.lower(w)))
+    lower = F.transform(kept, F.lower)
+    return F.filter(kept, lambda w, i: F.array_position(lower, F.lower(w)) == i + 1)
+
+
 def completion_query(prefix: Column, suffix: Column, weight: float = 0.6) -> Column:
     """Search text for a place in a file: identifiers around it, repeated by weight, then the last 10 and next 5 lines.
 

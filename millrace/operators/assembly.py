@@ -107,6 +107,30 @@ def rendered(items: DataFrame, key: str = "task") -> DataFrame:
     return kept.select(key, F.array_join(F.transform(files, block), "\n").alias("context"))
 
 
+def source_counts(items: DataFrame) -> DataFrame:
+    """(source, n): how many items each source gave."""
+    return items.groupBy("source").agg(F.count("*").alias("n"))
+
+
+def cache_statistics(cache: DataFrame, unit: float, key: str = "key", text: str = "abstract") -> DataFrame:
+    """One row: n cached keys, n_chars of their texts, and what making them all again costs at ``unit`` each; a key counts once."""
+    once = cache.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.length(text)).alias("c"))
+    return once.agg(F.count("*").alias("n"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_chars"), (F.count("*") * F.lit(unit)).alias("cost"))
+
+
+def task_report(tasks: DataFrame, archives: DataFrame, files: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(repo, tasks, ok, no_archive, no_target, no_context): what hinders the tasks of each repository, the first thing counts.
+
+    tasks: task, repo, path; archives: repo, for those at hand; files: repo, path; contexts: task, context. An empty context is none.
+    """
+    a = archives.select(F.col("repo").alias("__ar")).where("__ar is not null").distinct()
+    f = files.select(F.col("repo").alias("__fr"), F.col("path").alias("__fp")).distinct()
+    c = contexts.where(F.col("context") != "").select(F.col("task").alias("__ct")).distinct()
+    j = tasks.select("task", "repo", "path").join(a, F.col("repo") == F.col("__ar"), "left").join(f, (F.col("repo") == F.col("__fr")) & (F.col("path") == F.col("__fp")), "left").join(c, F.col("task") == F.col("__ct"), "left")
+    state = F.when(F.col("__ar").isNull(), "no_archive").when(F.col("__fr").isNull(), "no_target").when(F.col("__ct").isNull(), "no_context").otherwise("ok")
+    return j.groupBy("repo").agg(F.count("*").alias("tasks"), *[F.count_if(state == s).alias(s) for s in ("ok", "no_archive", "no_target", "no_context")])
+
+
 def paged(rows: DataFrame, order: list[Column], skip: int = 0, limit: int = 0) -> DataFrame:
     """Rows after ``skip``, at most ``limit`` (0: all), in a total order."""
     out = rows.orderBy(*order).offset(skip)

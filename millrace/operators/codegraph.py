@@ -18,42 +18,85 @@ def nodes(entities: DataFrame) -> DataFrame:
     return own.dropDuplicates(["id"]).unionByName(modules)
 
 
-def resolved(wanted: DataFrame, index: DataFrame, name: str, preferred: Column, keep: list[str]) -> DataFrame:
-    """wanted joined to the entities of index called ``name``, one each: a preferred one, else the smallest id.
+def resolved(wanted: DataFrame, index: DataFrame, name: str, file: str, keep: list[str]) -> DataFrame:
+    """wanted joined to the entities of index called ``name``, one each: the smallest id of its own ``file``, else of all.
 
-    index: id, file_path, name. preferred: a condition on wanted's columns and the candidate's ``c_id``, ``c_file``. The
-    choice is an aggregate with partial results, so a name with very many entities is no hot group.
+    index: id, file_path, name. The index is first reduced to one row for a name and file, and one for a name, so a name with
+    very many entities and callers multiplies nothing.
     """
-    cand = index.select(F.col("id").alias("c_id"), F.col("file_path").alias("c_file"), F.col("name").alias("c_name"))
-    joined = wanted.join(cand, F.col(name) == F.col("c_name"))
-    return joined.groupBy(*keep).agg(F.min(F.struct((~preferred).alias("other"), "c_id", "c_file")).alias("c")).select(*keep, F.col("c.c_id").alias("target"), F.col("c.c_file").alias("target_file"))
+    in_file = index.groupBy(F.col("name").alias("c_name"), F.col("file_path").alias("c_file")).agg(F.min("id").alias("c_id"))
+    first = in_file.groupBy(F.col("c_name").alias("f_name")).agg(F.min(F.struct("c_id", "c_file")).alias("f"))
+    asked = wanted.select(*dict.fromkeys([*keep, name, file])).distinct()
+    own = asked.join(in_file, (F.col(name) == F.col("c_name")) & (F.col(file) == F.col("c_file")), "left")
+    both = own.join(first, F.col(name) == F.col("f_name"))
+    return both.select(*keep, F.coalesce("c_id", "f.c_id").alias("target"), F.coalesce("c_file", "f.c_file").alias("target_file"))
+
+
+def resolved_by_path(wanted: DataFrame, index: DataFrame, name: str, path: str, keep: list[str], most: int = 1_000) -> DataFrame:
+    """wanted joined to the entities of index called ``name``, one each: the smallest id of a file whose path contains ``path``,
+
+    else of all. Both sides are reduced first, wanted to one row for a name and path, the index to one for a name and file; a
+    name's paths are all compared with its files, as any text can contain another, in shares of ``most`` files each.
+    """
+    files = index.groupBy(F.col("name").alias("c_name"), F.col("file_path").alias("c_file")).agg(F.min("id").alias("c_id"))
+    shares = files.groupBy(F.col("c_name").alias("f_name")).agg(F.min(F.struct("c_id", "c_file")).alias("f"), F.ceil(F.count("*") / most).cast("int").alias("shares"))
+    asked = wanted.select(F.col(name).alias("a_name"), F.col(path).alias("a_path")).distinct().join(shares, F.col("a_name") == F.col("f_name")).drop("f_name")
+    spread = asked.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    cut = files.join(shares.select("f_name", "shares"), F.col("c_name") == F.col("f_name")).withColumn("c_share", F.pmod(F.xxhash64("c_file"), F.col("shares")).cast("int")).drop("f_name", "shares")
+    hit = spread.join(cut, (F.col("a_name") == F.col("c_name")) & (F.col("share") == F.col("c_share")) & F.contains("c_file", "a_path"))
+    best = hit.groupBy("a_name", "a_path").agg(F.min(F.struct("c_id", "c_file")).alias("c")).select(F.col("a_name").alias("b_name"), F.col("a_path").alias("b_path"), "c")
+    out = asked.join(best, (F.col("a_name") == F.col("b_name")) & (F.col("a_path") == F.col("b_path")), "left").select("a_name", "a_path", F.coalesce("c", "f").alias("c"))
+    return wanted.select(*dict.fromkeys([*keep, name, path])).distinct().join(out, (F.col(name) == F.col("a_name")) & (F.col(path) == F.col("a_path"))).select(*keep, F.col("c.c_id").alias("target"), F.col("c.c_file").alias("target_file"))
 
 
 def edges(entities: DataFrame, imports: DataFrame | None = None, *, strict: bool = False) -> DataFrame:
     """(src, dst, relation): DEFINES (file to entity), CONTAINS (class to method), CALLS, IMPORTS (file to file).
 
     Calls are resolved over all entities by their full name, the caller's own file first, then the smallest id. Dotted
-    calls don't match bare names. imports: file_path, module. strict leaves out CONTAINS and IMPORTS.
+    calls don't match bare names. imports: file_path, module; a module is each file whose path without suffix is it or ends with
+    it, in whole parts. strict leaves out CONTAINS and IMPORTS.
     """
     all_ = nodes(entities)
     own = all_.where("kind <> 'module'")
     defines = own.select(F.concat("file_path", F.lit(":module")).alias("src"), F.col("id").alias("dst"), F.lit("DEFINES").alias("relation"))
     calls = entities.select(entity_id(F.col("file_path"), F.col("name"), F.col("line_start")).alias("src"), "file_path", F.explode("dependencies").alias("dep")).distinct()
-    called = resolved(calls, own.select("id", "file_path", "name"), "dep", F.col("file_path") == F.col("c_file"), ["src", "dep"])
+    called = resolved(calls, own.select("id", "file_path", "name"), "dep", "file_path", ["src", "dep"])
     out = defines.unionByName(called.select("src", F.col("target").alias("dst"), F.lit("CALLS").alias("relation")))
     if not strict:
         classes = own.where("kind = 'class'").groupBy("file_path", F.col("name").alias("parent")).agg(F.min("id").alias("src"))
         contains = own.where("parent is not null").join(classes, ["file_path", "parent"]).select("src", F.col("id").alias("dst"), F.lit("CONTAINS").alias("relation"))
         out = out.unionByName(contains)
         if imports is not None:
-            stem = F.regexp_replace("file_path", r"(/__init__)?\.\w+$", "")
-            modules = entities.select("file_path").distinct().select("file_path", F.element_at(F.split(stem, "/"), -1).alias("last"), stem.alias("stem"))
-            want = imports.select("file_path", F.regexp_replace("module", r"\.", "/").alias("path"), F.element_at(F.split("module", r"\."), -1).alias("last")).distinct()
-            hit = want.join(modules.withColumnRenamed("file_path", "target"), "last").where(F.col("stem").endswith(F.col("path")))
+            # A file goes by each end of its path without suffix, whole parts only: one row a part, and equal keys to join on.
+            parts = F.split(F.regexp_replace("file_path", r"(/__init__)?\.\w+$", ""), "/")
+            ends = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.array_join(F.slice("parts", k, F.size("parts")), "/"))
+            modules = entities.select("file_path").distinct().select(F.col("file_path").alias("target"), parts.alias("parts")).select("target", F.explode(ends).alias("path"))
+            want = imports.select("file_path", F.translate("module", ".", "/").alias("path")).where("path <> ''").distinct()
+            hit = want.join(modules, "path")
             out = out.unionByName(hit.select(F.concat("file_path", F.lit(":module")).alias("src"), F.concat("target", F.lit(":module")).alias("dst"), F.lit("IMPORTS").alias("relation")))
     return out.distinct()
 
 
+def by_id(nodes_: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes of the given ids (id); unknown ones have no row."""
+    return nodes_.join(ids.select(F.col("id").alias("__id")).distinct(), F.col("id") == F.col("__id"), "left_semi")
+
+
+def of_files(nodes_: DataFrame, files: DataFrame) -> DataFrame:
+    """The entities of the given files (file_path), without the files' own nodes."""
+    return nodes_.where("kind <> 'module'").join(files.select(F.col("file_path").alias("__f")).distinct(), F.col("file_path") == F.col("__f"), "left_semi")
+
+
+def of_names(nodes_: DataFrame, names: DataFrame) -> DataFrame:
+    """The entities of the given names (name)."""
+    return nodes_.where("kind <> 'module'").join(names.select(F.col("name").alias("__n")).distinct(), F.col("name") == F.col("__n"), "left_semi")
+
+
+def sizes(nodes_: DataFrame) -> DataFrame:
+    """One row: n_nodes, files' nodes included, n_entities, n_files."""
+    return nodes_.agg(F.count("*").alias("n_nodes"), F.count_if(F.col("kind") != "module").alias("n_entities"), F.count_if(F.col("kind") == "module").alias("n_files"))
+
+
 def known_edges(edges_: DataFrame, nodes_: DataFrame) -> DataFrame:
     """The edges of which both ends are nodes."""
     ids = nodes_.select("id").distinct()

@@ -16,12 +16,10 @@ def resolved_imports(imports: DataFrame, entities: DataFrame, most: int = 10) ->
 
     file whose path holds the module before others; each entity once, the first ``most`` by place.
     """
-    want = imports.where("type = 'from'").select("task", "repo", "module", "name", "place")
-    cand = entities.select("repo", "name", "id", "file_path")
-    hit = want.join(cand, ["repo", "name"])
-    other = ~F.col("file_path").contains(F.replace("module", F.lit("."), F.lit("/")))
-    one = hit.groupBy("task", "place", "module", "name").agg(F.min(F.struct(other.alias("o"), "id")).alias("c"))
-    once = one.groupBy("task", F.col("c.id").alias("id")).agg(F.min("place").alias("place"))
+    want = imports.where("type = 'from'").select("task", "place", "module", F.concat_ws("\0", "repo", "name").alias("want"), F.translate("module", ".", "/").alias("path"))
+    index = entities.select("id", F.concat_ws("\0", "repo", "name").alias("name"), "file_path")
+    one = codegraph.resolved_by_path(want, index, "want", "path", ["task", "place"])
+    once = one.groupBy("task", F.col("target").alias("id")).agg(F.min("place").alias("place"))
     return once.withColumn("r", F.row_number().over(Window.partitionBy("task").orderBy("place", "id"))).where(F.col("r") <= most).drop("r")
 
 
@@ -53,8 +51,13 @@ def contexts(tasks: DataFrame, entities: DataFrame, edges: DataFrame, *, max_tok
     listed = listed.withColumn("pos", F.row_number().over(Window.partitionBy("task").orderBy("order"))).where(F.col("pos") <= IMPORTED).drop("order")
     own = tasks.select("task", "repo", "path").join(e.select("repo", F.col("file_path").alias("path"), T.base_class(F.col("raw_code")).alias("want"), "place"), ["repo", "path"]).where("want is not null")
     wanted = listed.withColumn("base", F.lit(False)).unionByName(own.select("task", "repo", "path", "want", (F.col("place") + 1000).alias("pos"), F.lit(True).alias("base")))
-    hit = wanted.join(e.select("repo", F.col("name").alias("want"), "id", "file_path"), ["repo", "want"])
-    one = hit.groupBy("task", "pos", "want", "base").agg(F.min(F.struct((F.col("file_path") == F.col("path")).alias("same"), "id")).alias("c"))
+    # One row a name and file, then a name's smallest id and the smallest of its other files: names of many entities don't multiply.
+    in_file = e.groupBy("repo", F.col("name").alias("want"), "file_path").agg(F.min("id").alias("id"))
+    least = in_file.groupBy("repo", "want").agg(F.min(F.struct("id", "file_path")).alias("c"))
+    other = in_file.join(least, ["repo", "want"]).where(F.col("file_path") != F.col("c.file_path")).groupBy("repo", "want").agg(F.min("id").alias("other"))
+    one = wanted.join(least, ["repo", "want"]).join(other, ["repo", "want"], "left")
+    away = F.col("c.file_path") != F.col("path")
+    one = one.select("task", "pos", "want", "base", F.struct((~away & F.col("other").isNull()).alias("same"), F.when(away, F.col("c.id")).otherwise(F.coalesce("other", "c.id")).alias("id")).alias("c"))
     imported = one.where(~(F.col("base") & F.col("c.same"))).select("task", F.col("c.id").alias("id"), F.lit("import_definition").alias("source"), F.lit(1.85).alias("score"), "pos")
 
     before = written(assembly.first_stage([current, modified, imported]), "completion-stages")

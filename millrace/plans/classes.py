@@ -2,30 +2,31 @@
 
 from pyspark.sql import functions as F
 
+from millrace.operators import classification
 from millrace.operators import multilabel as ml
 from millrace.operators import ontology as onto
-from millrace.operators import regression
 from millrace.plans.catalogue import Catalogue
+from millrace.plans.shared import written
 from millrace.plans.tables import table
 
 C = Catalogue()
 
-# A tree over the parts: a part's parent has half its number.
-EDGES = "SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey > 0"
+# A hierarchy over the parts with several parents: those of half and of a third of a part's number, so paths differ in length.
+EDGES = "SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey > 0 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 0"
 CLOSED = f"""WITH RECURSIVE e AS ({EDGES}), c AS (SELECT parent AS ancestor, child AS descendant, 1 AS depth FROM e
- UNION ALL SELECT c.ancestor, e.child, c.depth + 1 FROM c JOIN e ON c.descendant = e.parent)"""
+ UNION SELECT c.ancestor, e.child, c.depth + 1 FROM c JOIN e ON c.descendant = e.parent)"""
 
 
 def _edges(spark, d):
     p = table(spark, d, "part").where("p_partkey > 0")
-    return p.select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 2").alias("parent"))
+    return p.select(F.col("p_partkey").alias("child"), F.explode(F.array(F.expr("p_partkey div 2"), F.expr("p_partkey div 3"))).alias("parent")).distinct()
 
 
 def _nodes(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("node"))
 
 
-@C.add(EDGES)
+@C.add(f"SELECT * FROM ({EDGES}) WHERE parent IN (SELECT p_partkey FROM part)")
 def onto_edges(spark, d):
     return onto.valid_edges(_edges(spark, d), _nodes(spark, d))
 
@@ -41,11 +42,11 @@ def onto_topo_level(spark, d):
     return onto.levels(_edges(spark, d), _nodes(spark, d))
 
 
-SCORES = "(SELECT l_orderkey % 50 AS item, l_partkey AS node, max(l_discount * 10) AS score FROM lineitem GROUP BY 1, 2)"
+SCORES = "(SELECT l_orderkey AS item, l_partkey AS node, max(l_discount * 10) AS score FROM lineitem GROUP BY 1, 2)"
 
 
 def _scores(spark, d):
-    return table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("item"), F.col("l_partkey").alias("node")).agg(F.max(F.col("l_discount") * 10).alias("score"))
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("node")).agg(F.max(F.col("l_discount") * 10).alias("score"))
 
 
 @C.add(CLOSED + f""", p AS (SELECT DISTINCT ancestor, descendant FROM c), s AS {SCORES},
@@ -110,12 +111,70 @@ def ml_wide_long(spark, d):
     return ml.to_wide(back, ["item"], ["A", "N", "R"])
 
 
-@C.add()
-def ml_ovr_gbt(spark, d):
-    """Whether a line item was returned or accepted, from its numbers: every fiftieth order is held out."""
+# Four classes of a line item, one above two others, with a probability each.
+CLASSES = """(SELECT l_orderkey * 10 + l_linenumber AS item, unnest([{'cls': 'A', 'y': (l_returnflag = 'A')::INT, 'p': l_discount * 10}, {'cls': 'R', 'y': (l_returnflag = 'R')::INT, 'p': l_tax * 12}, {'cls': 'N', 'y': (l_returnflag = 'N')::INT, 'p': l_quantity / 50},
+ {'cls': 'back', 'y': (l_returnflag <> 'N')::INT, 'p': (l_discount + l_tax) * 4}], recursive := true) FROM lineitem)"""
+OVER = "(VALUES ('A', 'back'), ('R', 'back')) e(child, parent)"
+
+
+def _classed(spark, d):
+    c = F.col
+    cells = F.array(*[F.struct(F.lit(n).alias("cls"), y.cast("int").alias("y"), p.alias("p")) for n, y, p in (("A", c("l_returnflag") == "A", c("l_discount") * 10), ("R", c("l_returnflag") == "R", c("l_tax") * 12), ("N", c("l_returnflag") == "N", c("l_quantity") / 50), ("back", c("l_returnflag") != "N", (c("l_discount") + c("l_tax")) * 4))])
+    return table(spark, d, "lineitem").select((c("l_orderkey") * 10 + c("l_linenumber")).alias("item"), F.inline(cells))
+
+
+def _over(spark):
+    return spark.createDataFrame([("A", "back"), ("R", "back")], "child string, parent string")
+
+
+AGREED = f"""WITH s AS MATERIALIZED {CLASSES}, t AS (SELECT unnest([{", ".join(map(str, ml.GRID))}]::DOUBLE[]) AS threshold), g AS (SELECT cls, y, p, count(*) AS n FROM s GROUP BY ALL),
+ f AS (SELECT cls, threshold, coalesce(sum(n) FILTER (p >= threshold AND y = 1), 0) AS tp, coalesce(sum(n) FILTER (p >= threshold AND y = 0), 0) AS fp, coalesce(sum(n) FILTER (p < threshold AND y = 1), 0) AS fn FROM g CROSS JOIN t GROUP BY 1, 2),
+ b AS (SELECT cls, threshold FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END DESC, threshold) AS k FROM f) WHERE k = 1),
+ r AS (SELECT item, cls, max(p) AS p FROM (SELECT item, cls, p FROM s UNION ALL SELECT item, parent, p FROM s JOIN {OVER} ON cls = child) GROUP BY 1, 2),
+ o AS (SELECT item, cls, p, (p >= threshold)::INT AS label FROM r JOIN b USING (cls)), l AS (SELECT item, cls, max(label) AS label FROM (SELECT item, cls, label FROM o UNION ALL SELECT item, parent, label FROM o JOIN {OVER} ON cls = child) GROUP BY 1, 2)"""
+
+
+@C.add(AGREED + " SELECT l.item, l.cls, round(o.p, 6) AS p, CAST(l.label AS INTEGER) AS label FROM l JOIN o ON l.item = o.item AND l.cls = o.cls")
+def ml_agreeing_labels(spark, d):
+    """The steps after the models, on probabilities made from the table: thresholds, hierarchy, labels."""
+    scored = _classed(spark, d)
+    return classification.agreeing_labels(scored, scored.select("item", "cls", "p"), _over(spark)).withColumn("p", F.round("p", 6))
+
+
+@C.add(AGREED + """, j AS (SELECT l.cls, y, label FROM l JOIN s USING (item, cls)), k AS (SELECT cls, count(*) FILTER (label = 1 AND y = 1) AS tp, count(*) FILTER (label = 1 AND y = 0) AS fp, count(*) FILTER (label = 0 AND y = 1) AS fn FROM j GROUP BY 1)
+ SELECT cls, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1 FROM k""")
+def ml_agreeing_f1(spark, d):
+    scored = _classed(spark, d)
+    labels = classification.agreeing_labels(scored, scored.select("item", "cls", "p"), _over(spark)).select("item", "cls", F.col("label").cast("double").alias("p"))
+    return ml.f1_per_class(labels.join(scored.select("item", "cls", "y"), ["item", "cls"])).select("cls", F.round("f1", 6).alias("f1"))
+
+
+@C.add("SELECT l_orderkey * 10 + l_linenumber AS item, CAST((l_discount * 10 >= 0.5) AS INTEGER) AS label FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT l_orderkey * 10 + l_linenumber, CAST((l_discount * 10 >= 0.7) AS INTEGER) FROM lineitem WHERE l_returnflag = 'R'")
+def ml_labelled(spark, d):
+    """Labels by given thresholds; class N has none and is left out."""
+    limits = spark.createDataFrame([("A", 0.5), ("R", 0.7)], "cls string, threshold double")
+    return ml.labelled(_scored(spark, d), limits).select("item", "label")
+
+
+def _returned(spark, d):
     from pyspark.ml.feature import VectorAssembler
 
     li = table(spark, d, "lineitem").withColumn("item", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    rows = li.withColumns({f"is_{c}": (F.col("l_returnflag") == c).cast("int") for c in ("A", "R")})
-    rows = VectorAssembler(inputCols=["l_quantity", "l_extendedprice", "l_discount", "l_tax"], outputCol="features").transform(rows)
-    return regression.boosted_classes(rows.where("l_orderkey % 50 <> 0"), rows.where("l_orderkey % 50 = 0"), ["is_A", "is_R"], item="item", trees=5, depth=3)
+    rows = li.withColumns({c: (F.col("l_returnflag") == c).cast("int") for c in ("A", "N", "R")}).withColumn("back", 1 - F.col("N"))
+    return VectorAssembler(inputCols=["l_quantity", "l_extendedprice", "l_discount", "l_tax"], outputCol="features").transform(rows)
+
+
+@C.add()
+def ml_ovr_gbt(spark, d):
+    """Out-of-fold probabilities of what became of a line item, from its numbers: a model for each class and fold."""
+    rows = _returned(spark, d)
+    return classification.boosted_folds(rows, rows.select("item", "features"), ["A", "N", "R"], item="item")[0]
+
+
+@C.add()
+def ml_pipeline(spark, d):
+    """From features to labels that agree with the hierarchy; what is labelled are the orders' line items themselves."""
+    rows = _returned(spark, d)
+    held, tested = classification.boosted_folds(rows, rows.select("item", "features"), ["A", "N", "R", "back"], item="item")
+    held, tested = written(held, "pipeline-held"), written(tested, "pipeline-tested")
+    return classification.agreeing_labels(held, tested, _over(spark))

@@ -90,6 +90,23 @@ def txt_entity_texts(spark, d):
     return e.select("entity_id", F.md5(T.sparse_text(c("name"), c("signature"), c("docstring"), c("raw_code"))).alias("sparse"), F.when(short.eqNullSafe(c("docstring")) & (F.length(F.trim("docstring")) > 10), "doc").otherwise("sig").alias("abstract_of"))
 
 
+KNOWN = ", ".join(f"'{w}'" for w in [*T.KEYWORDS, *T.KNOWN_NAMES])
+PLAIN = r"""regexp_replace(raw_code, '#[^\n]*|"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''', ' ', 'g')"""
+
+
+@C.add(rf"""WITH w AS (SELECT entity_id, [x for x in regexp_extract_all({PLAIN}, '[\p{{L}}\p{{N}}\p{{M}}_]+') if regexp_full_match(x, '[\p{{L}}_][\p{{L}}\p{{N}}\p{{M}}_]+') AND lower(x) NOT IN ({KNOWN})] AS a FROM entities WHERE raw_code IS NOT NULL),
+ l AS (SELECT entity_id, a, [lower(x) for x in a] AS b FROM w) SELECT entity_id, array_to_string([a[i] for i in range(1, len(a) + 1) if list_position(b, b[i]) = i], ' ') AS ids FROM l""")
+def txt_code_identifiers(spark, d):
+    return table(spark, d, "entities").where("raw_code is not null").select("entity_id", F.array_join(T.code_identifiers(F.col("raw_code")), " ").alias("ids"))
+
+
+@C.add("""SELECT entity_id, md5(concat_ws(chr(10), CASE WHEN name <> '' THEN 'Name: ' || name END, CASE WHEN type <> '' THEN 'Type: ' || type END, CASE WHEN signature <> '' THEN 'Signature: ' || signature END, CASE WHEN docstring <> '' THEN 'Documentation: ' || docstring END,
+ CASE WHEN raw_code <> '' THEN 'Code:' || chr(10) || array_to_string(string_split(raw_code, chr(10))[1:10], chr(10)) END)) AS dense FROM entities""")
+def txt_dense_text(spark, d):
+    c = F.col
+    return table(spark, d, "entities").select("entity_id", F.md5(T.dense_text(c("name"), c("type"), c("signature"), c("docstring"), c("raw_code"))).alias("dense"))
+
+
 # Retrieval: the corpus is the entities' code; queries are the signatures of every fiftieth entity.
 CORPUS = f"(SELECT entity_id, {TOKENS.format(c=chr(34) + 'raw_code' + chr(34))} AS t FROM entities)"
 
@@ -147,28 +164,55 @@ def ret_hash_embed(spark, d):
     return retrieval.hashed_embedding(table(spark, d, "documents"), "doc_id", T.code_tokens(F.col("text"))).withColumn("weight", F.round("weight", 6))
 
 
-# Fusion of two rankings of vectors: by all numbers, and by the first eight.
-PART = DENSE.replace("FROM embeddings", "FROM (SELECT vec_id, embedding[1:8] AS embedding FROM embeddings)")
+# Dense search by hashed embeddings of the same tokens, and its fusion with BM25.
+BUCKET = "CAST(CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 384 AS INTEGER)"
+HASHED = f"""e AS (SELECT entity_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY entity_id)) AS w FROM (SELECT entity_id, {BUCKET} AS bucket, count(*) AS n FROM (SELECT entity_id, unnest(t) AS term FROM c) GROUP BY 1, 2)),
+ g AS (SELECT query_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY query_id)) AS w FROM (SELECT query_id, {BUCKET} AS bucket, sum(qtf) AS n FROM q GROUP BY 1, 2)),
+ o AS (SELECT query_id, entity_id, sum(g.w * e.w) AS dot FROM g JOIN e USING (bucket) GROUP BY 1, 2),
+ z AS (SELECT query_id, entity_id, coalesce(dot, 0) / ((1 + 1e-8::DOUBLE) * (1 + 1e-8::DOUBLE)) AS score FROM (SELECT DISTINCT query_id FROM g) CROSS JOIN (SELECT DISTINCT entity_id FROM e) LEFT JOIN o USING (query_id, entity_id)),
+ y AS (SELECT query_id, entity_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, entity_id) - 1 AS place FROM z)"""
 
 
-@C.add(f"""WITH a AS ({DENSE} SELECT query_id, vec_id, place FROM r WHERE place < 20), b AS ({PART} SELECT query_id, vec_id, place FROM r WHERE place < 20),
- p AS (SELECT query_id, vec_id, 0.4::DOUBLE / (61 + place) AS part FROM a UNION ALL SELECT query_id, vec_id, (1 - 0.4::DOUBLE) / (61 + place) FROM b),
- f AS (SELECT query_id, vec_id, sum(part) AS score FROM p GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS n FROM f)
- SELECT query_id, vec_id, round(score, 9) AS score FROM k WHERE n <= 10""")
+def _hashed(spark, d):
+    docs = retrieval.dense_vectors(retrieval.hashed_embedding(_corpus(spark, d), "entity_id", F.col("t")), "entity_id")
+    asked = retrieval.dense_vectors(retrieval.hashed_embedding(_asked(spark, d), "query_id", F.col("t")), "query_id")
+    return retrieval.dense_top(docs, "entity_id", "vector", asked, "query_id", "vector", 20)
+
+
+@C.add(BM25.replace("RECURSIVE dummy AS (SELECT 1), ", "") + f", {HASHED} SELECT query_id, entity_id, round(score, 6) AS score FROM y WHERE place < 20")
+def ret_hashed_topk(spark, d):
+    return _hashed(spark, d).select("query_id", "entity_id", F.round("score", 6).alias("score"))
+
+
+@C.add(BM25.replace("RECURSIVE dummy AS (SELECT 1), ", "") + f""", {HASHED}, p2 AS (SELECT query_id, entity_id, 0.4::DOUBLE / (61 + place) AS part FROM y WHERE place < 20 UNION ALL SELECT query_id, entity_id, (1 - 0.4::DOUBLE) / (61 + place) FROM r WHERE place < 20),
+ f AS (SELECT query_id, entity_id, sum(part) AS score FROM p2 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, entity_id) AS n FROM f)
+ SELECT query_id, entity_id, round(score, 9) AS score FROM k WHERE n <= 10""")
 def ret_rrf_hybrid(spark, d):
-    v = table(spark, d, "embeddings").withColumn("part", F.slice("embedding", 1, 8))
-    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "part")
-    whole, part = (retrieval.dense_top(v, "vec_id", c, asked, "query_id", c, 20) for c in ("embedding", "part"))
-    return retrieval.fused(whole, part, "query_id", "vec_id", 10, alpha=0.4).select("query_id", "vec_id", F.round("score", 9).alias("score"))
+    return retrieval.fused(_hashed(spark, d), _bm25(spark, d, 20), "query_id", "entity_id", 10, alpha=0.4).select("query_id", "entity_id", F.round("score", 9).alias("score"))
+
+
+# The file baseline: every fiftieth file is to be completed in its middle, by the best files of its repository.
+WORDS = r"[x for x in regexp_split_to_array(lower({c}), '\s+') if x <> '']"
 
 
-@C.add("""WITH f AS (SELECT repo, file_path, content, row_number() OVER (PARTITION BY repo ORDER BY n_bytes DESC, file_path, file_id) - 1 AS place FROM source_files),
- b AS (SELECT *, coalesce(sum(length(content)) OVER (PARTITION BY repo ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f WHERE place < 3)
- SELECT repo, md5(string_agg('<|file_sep|>' || chr(10) || '# File: ' || string_split(file_path, '/')[-1] || chr(10) || left(content, CAST(2000 - before AS BIGINT)), chr(10) || chr(10) ORDER BY place)) AS context FROM b WHERE before < 2000 GROUP BY repo""")
+@C.add(rf"""WITH c AS (SELECT repo, file_id, file_path, content, {WORDS.format(c="content")} AS t FROM source_files), n AS (SELECT repo, count(*) AS n_docs, avg(coalesce(len(t), 0)) AS avg_dl FROM c GROUP BY 1),
+ p AS (SELECT repo, file_id, term, count(*) AS tf, max(dl) AS dl FROM (SELECT repo, file_id, unnest(t) AS term, len(t) AS dl FROM c) GROUP BY 1, 2, 3),
+ i AS (SELECT repo, term, ln((n_docs - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1) AS idf FROM p JOIN n USING (repo) GROUP BY repo, term, n_docs),
+ a AS (SELECT repo, file_id AS task, right(left(content, length(content) // 2), 1000) || ' ' || left(substr(content, length(content) // 2 + 1), 500) AS asked FROM source_files WHERE file_id % 50 = 0),
+ q AS (SELECT repo, task, term, count(*) AS qtf FROM (SELECT repo, task, unnest({WORDS.format(c="asked")}) AS term FROM a) GROUP BY 1, 2, 3),
+ s AS (SELECT task, file_id, sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avg_dl))) AS score FROM q JOIN p USING (repo, term) JOIN i USING (repo, term) JOIN n USING (repo) GROUP BY 1, 2),
+ r AS (SELECT task, file_id, row_number() OVER (PARTITION BY task ORDER BY round(score, 9) DESC, file_id) - 1 AS place FROM s WHERE score > 0),
+ b AS (SELECT r.task, r.place, file_path, content, coalesce(sum(length(content)) OVER (PARTITION BY task ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r JOIN c USING (file_id) WHERE place < 3),
+ x AS (SELECT task, md5(string_agg('<|file_sep|>' || chr(10) || '# File: ' || string_split(file_path, '/')[-1] || chr(10) || left(content, CAST(32000 - before AS BIGINT)), chr(10) || chr(10) ORDER BY place)) AS context FROM b WHERE before < 32000 GROUP BY task)
+ SELECT task, coalesce(context, '') AS context FROM a LEFT JOIN x USING (task)""")
 def ret_file_baseline(spark, d):
-    f = table(spark, d, "source_files")
-    ranked = f.withColumn("place", codegraph.row_number(["repo"], [F.col("n_bytes").desc(), F.col("file_path"), F.col("file_id")]) - 1)
-    return retrieval.joined_files(ranked, "repo", "place", T.base_name(F.col("file_path")), F.col("content"), 2000).select("repo", F.md5("context").alias("context"))
+    f = table(spark, d, "source_files").withColumn("t", T.space_tokens(F.col("content")))
+    half = F.floor(F.length("content") / 2).cast("int")
+    asked = F.concat(F.right(F.left("content", half), F.lit(1000)), F.lit(" "), F.left(F.substring(F.col("content"), half + 1, F.length("content")), F.lit(500)))
+    tasks = f.where("file_id % 50 = 0").select("repo", F.col("file_id").alias("task"), T.space_tokens(asked).alias("t"))
+    ranked = retrieval.bm25(f, "file_id", F.col("t"), tasks, "task", F.col("t"), 3, by=["repo"]).join(f.select("file_id", "file_path", "content"), "file_id")
+    found = retrieval.joined_files(ranked, "task", "place", T.base_name(F.col("file_path")), F.col("content"), 32_000)
+    return assembly.with_empty(tasks.select("task"), found.withColumn("context", F.md5("context")), "task")
 
 
 @C.add("SELECT repo, file_id FROM (SELECT repo, file_id, row_number() OVER (PARTITION BY repo ORDER BY md5('42:' || file_id), file_id) AS k FROM source_files) WHERE k = 1")
@@ -176,14 +220,24 @@ def ret_random_seeded(spark, d):
     return retrieval.seeded_sample(table(spark, d, "source_files"), "file_id", 1, by=["repo"]).select("repo", "file_id")
 
 
+def _python(spark, d):
+    return table(spark, d, "source_files").where(F.lower("file_path").rlike(r"\.pyi?$"))
+
+
 @C.add()
 def code_entities(spark, d):
-    return python_code.entities(table(spark, d, "source_files").where("file_path like '%.py'"), ["file_id", "file_path"])
+    """Of Python files, whose entities this is the parser of."""
+    return python_code.entities(_python(spark, d), ["file_id", "file_path"])
+
+
+@C.add()
+def code_entities_tolerant(spark, d):
+    return python_code.entities(_python(spark, d), ["file_id", "file_path"], tolerant=True)
 
 
 @C.add()
 def code_imports(spark, d):
-    return python_code.imports(table(spark, d, "source_files").where("file_path like '%.py'"), ["file_id", "file_path"])
+    return python_code.imports(_python(spark, d), ["file_id", "file_path"])
 
 
 # The listed entities, each identity once, with the path of their file; what they call is read off their code.
@@ -222,6 +276,54 @@ def code_high_degree(spark, d):
     return codegraph.high_degrees(codegraph.edges(_listed(spark, d)), 6)
 
 
+# Imports: what the parser lists of Python files ("import a.b", "from a.b import c"), and of each file the next one of its repository.
+IMPORTED = r"""i AS (SELECT DISTINCT path, replace(m, '.', '/') AS module FROM (SELECT file_id || '/' || s.file_path AS path, coalesce(nullif(regexp_extract(t, '^from\s+([A-Za-z_][\w.]*)\s+import', 1), ''), nullif(regexp_extract(t, '^import\s+([A-Za-z_][\w.]*)', 1), '')) AS m
+  FROM (SELECT file_id, unnest(imports) AS t FROM parse_results) JOIN source_files s USING (file_id) WHERE regexp_matches(lower(s.file_path), '\.pyi?$')
+  UNION ALL SELECT file_id || '/' || file_path, array_to_string(string_split(regexp_replace(lead(file_path) OVER (PARTITION BY repo ORDER BY file_id), '\.\w+$', ''), '/')[-2:], '.') FROM source_files) WHERE m IS NOT NULL),
+ d AS (SELECT DISTINCT path AS target, string_split(regexp_replace(path, '(/__init__)?\.\w+$', ''), '/') AS parts FROM x), u AS (SELECT target, unnest([array_to_string(parts[k:], '/') for k in range(1, len(parts) + 1)]) AS module FROM d)"""
+
+
+def _imported(spark, d):
+    path = F.concat_ws("/", F.col("file_id").cast("string"), "file_path").alias("file_path")
+    t = table(spark, d, "parse_results").select("file_id", F.explode("imports").alias("t")).join(_python(spark, d).select("file_id", path), "file_id")
+    from_, plain = F.regexp_extract("t", r"^from\s+([A-Za-z_][\w.]*)\s+import", 1), F.regexp_extract("t", r"^import\s+([A-Za-z_][\w.]*)", 1)
+    parsed = t.select("file_path", F.when(from_ != "", from_).when(plain != "", plain).alias("module"))
+    stem = F.split(F.regexp_replace(F.lead("file_path").over(codegraph.Window.partitionBy("repo").orderBy("file_id")), r"\.\w+$", ""), "/")
+    follow = table(spark, d, "source_files").select(path, F.array_join(F.slice(stem, F.greatest(F.size(stem) - 1, F.lit(1)), F.lit(2)), ".").alias("module"))
+    return parsed.unionByName(follow).where("module is not null")
+
+
+@C.add(EDGES_SQL + f", {IMPORTED} SELECT src, dst, relation FROM g UNION SELECT i.path || ':module', u.target || ':module', 'IMPORTS' FROM i JOIN u USING (module)")
+def code_edges_imports(spark, d):
+    return codegraph.edges(_listed(spark, d), _imported(spark, d))
+
+
+@C.add(f"WITH {LISTED} SELECT count(*) + count(DISTINCT path) AS n_nodes, count(*) AS n_entities, count(DISTINCT path) AS n_files FROM x")
+def code_graph_size(spark, d):
+    return codegraph.sizes(codegraph.nodes(_listed(spark, d)))
+
+
+# Lookups of every fiftieth file's entities, the entities of their names, and these by their ids again.
+@C.add(f"WITH {LISTED}, f AS (SELECT DISTINCT file_id || '/' || file_path AS path FROM source_files WHERE file_id % 50 = 0) SELECT DISTINCT id, path AS file_path, name FROM x WHERE name IN (SELECT name FROM x SEMI JOIN f USING (path))")
+def code_lookup(spark, d):
+    n = codegraph.nodes(_listed(spark, d))
+    files = table(spark, d, "source_files").where("file_id % 50 = 0").select(F.concat_ws("/", F.col("file_id").cast("string"), "file_path").alias("file_path"))
+    same = codegraph.of_names(n, codegraph.of_files(n, files).select("name"))
+    return codegraph.by_id(n, same.select("id")).select("id", "file_path", "name")
+
+
+@C.add(f"WITH {LISTED}, k AS (SELECT src, dst FROM (SELECT file_id || '/' || s.file_path || ':' || name || ':' || line_start AS src, lead(file_id || '/' || s.file_path || ':' || name || ':' || line_start, 1, 'none') OVER (ORDER BY entity_id) AS dst FROM entities JOIN source_files s USING (file_id))) SELECT DISTINCT src, dst FROM k WHERE dst IN (SELECT id FROM x)")
+def code_known_edges(spark, d):
+    """Each listing's link to the next one, of which the last leads nowhere."""
+    e = table(spark, d, "entities").join(table(spark, d, "source_files").select("file_id", F.col("file_path").alias("own")), "file_id")
+    ids = e.select("entity_id", codegraph.entity_id(F.concat_ws("/", F.col("file_id").cast("string"), "own"), F.col("name"), F.col("line_start")).alias("src"))
+    nxt = ids.select(F.col("src").alias("dst"), F.col("entity_id").alias("__e"))
+    ranks = ids.select("entity_id").distinct()
+    follow = ranks.join(ranks.select((F.col("entity_id") - 1).alias("__p"), F.col("entity_id").alias("__n")), F.col("entity_id") == F.col("__p"), "left")
+    links = ids.join(follow, "entity_id").join(nxt, F.col("__n") == F.col("__e"), "left").select("src", F.coalesce("dst", F.lit("none")).alias("dst"))
+    return codegraph.known_edges(links, codegraph.nodes(_listed(spark, d))).distinct()
+
+
 # Orders as a graph: a supplier delivers parts.
 SP = "(SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, 'CALLS' AS relation FROM lineitem)"
 
@@ -231,20 +333,29 @@ def _supply(spark, d):
     return li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("CALLS").alias("relation")).distinct()
 
 
-@C.add(f"SELECT DISTINCT src AS start, dst AS id FROM {SP} WHERE src IN ('s1', 's2')")
+# The starts: suppliers and parts whose key is divisible by 50.
+SUPPLIERS, PARTS = ("(SELECT '{0}' || {1} AS id FROM {2} WHERE {1} % 50 = 0)".format(*x) for x in (("s", "s_suppkey", "supplier"), ("p", "p_partkey", "part")))
+
+
+def _starts(spark, d, prefix, key, name):
+    return table(spark, d, name).where(F.col(key) % 50 == 0).select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("id"))
+
+
+@C.add(f"SELECT DISTINCT src AS start, dst AS id FROM {SP} SEMI JOIN {SUPPLIERS} s ON src = s.id")
 def code_callees(spark, d):
-    return codegraph.callees(_supply(spark, d), spark.createDataFrame([("s1",), ("s2",)], "id string"))
+    return codegraph.callees(_supply(spark, d), _starts(spark, d, "s", "s_suppkey", "supplier"))
 
 
-@C.add(f"SELECT DISTINCT dst AS start, src AS id FROM {SP} WHERE dst IN ('p1', 'p2', 'p3')")
+@C.add(f"SELECT DISTINCT dst AS start, src AS id FROM {SP} SEMI JOIN {PARTS} s ON dst = s.id")
 def code_callers(spark, d):
-    return codegraph.callers(_supply(spark, d), spark.createDataFrame([("p1",), ("p2",), ("p3",)], "id string"))
+    return codegraph.callers(_supply(spark, d), _starts(spark, d, "p", "p_partkey", "part"))
 
 
-@C.add(f"""WITH b AS (SELECT src, dst FROM {SP} UNION SELECT dst, src FROM {SP}), a1 AS (SELECT DISTINCT dst AS id FROM b WHERE src = 's1'), a2 AS (SELECT DISTINCT b.dst AS id FROM b JOIN a1 ON b.src = a1.id)
- SELECT 's1' AS start, id, CAST(1 AS INTEGER) AS depth FROM a1 WHERE id <> 's1' UNION ALL SELECT 's1', id, 2 FROM a2 WHERE id <> 's1' AND id NOT IN (SELECT id FROM a1)""")
+@C.add(f"""WITH b AS MATERIALIZED (SELECT src, dst FROM {SP} UNION SELECT dst, src FROM {SP}), a1 AS MATERIALIZED (SELECT DISTINCT s.id AS start, dst AS id FROM b JOIN {SUPPLIERS} s ON src = s.id),
+ a2 AS (SELECT DISTINCT start, b.dst AS id FROM b JOIN a1 ON b.src = a1.id)
+ SELECT start, id, CAST(1 AS INTEGER) AS depth FROM a1 WHERE id <> start UNION ALL SELECT start, id, 2 FROM a2 ANTI JOIN a1 USING (start, id) WHERE id <> start""")
 def code_neighbors(spark, d):
-    return codegraph.neighbours(_supply(spark, d), spark.createDataFrame([("s1",)], "id string"), 2)
+    return codegraph.neighbours(_supply(spark, d), _starts(spark, d, "s", "s_suppkey", "supplier"), 2)
 
 
 @C.add(f"""WITH {LISTED}, c AS (SELECT DISTINCT id AS src, path, unnest(deps) AS dep FROM x), k AS (SELECT c.src, c.dep, min(CASE WHEN x.path = c.path THEN '0' ELSE '1' END || x.id) AS t FROM c JOIN x ON x.name = c.dep GROUP BY 1, 2)
@@ -252,7 +363,7 @@ def code_neighbors(spark, d):
 def code_resolve_call(spark, d):
     e = _listed(spark, d).withColumn("id", codegraph.entity_id(F.col("file_path"), F.col("name"), F.col("line_start")))
     calls = e.select(F.col("id").alias("src"), "file_path", F.explode("dependencies").alias("dep")).distinct()
-    return codegraph.resolved(calls, e.select("id", "file_path", "name"), "dep", F.col("file_path") == F.col("c_file"), ["src", "dep"]).select("src", "dep", "target")
+    return codegraph.resolved(calls, e.select("id", "file_path", "name"), "dep", "file_path", ["src", "dep"]).select("src", "dep", "target")
 
 
 # Each file imports the first entity of the next file of its repository.
@@ -269,8 +380,8 @@ def code_resolve_import(spark, d):
     nxt = F.lead(path).over(codegraph.Window.partitionBy("repo").orderBy("file_id"))
     follow = table(spark, d, "source_files").select("file_id", nxt.alias("next"))
     want = follow.join(first, F.col("next") == F.col("file_path")).select("file_id", "want", F.translate(F.regexp_replace("next", r"\.\w+$", ""), "/", ".").alias("module"))
-    preferred = F.col("c_file").contains(F.translate("module", ".", "/"))
-    return codegraph.resolved(want, e.select("id", "file_path", "name"), "want", preferred, ["file_id", "want", "module"]).select("file_id", F.col("want").alias("name"), "module", "target")
+    want = want.withColumn("path", F.translate("module", ".", "/"))
+    return codegraph.resolved_by_path(want, e.select("id", "file_path", "name"), "want", "path", ["file_id", "want", "module"]).select("file_id", F.col("want").alias("name"), "module", "target")
 
 
 # Places in files: the line in the middle of each.
@@ -289,14 +400,13 @@ def _cursors(spark, d):
     return t.select(path.alias("cursor"), path.alias("file_path"), F.size(F.split("prefix", "\n", -1)).alias("line"))
 
 
-@C.add(CURSOR + ", r AS (SELECT path, id, row_number() OVER (PARTITION BY path ORDER BY size, id) AS k FROM j) SELECT path AS cursor, id FROM r WHERE k = 1")
+@C.add(CURSOR + """, r AS (SELECT path, min_by(id, (size, id)) AS inner_id FROM j GROUP BY 1), m AS (SELECT path, min_by(id, (-len(deps), line_start, id)) AS main_id FROM x WHERE type = 'class' GROUP BY 1),
+ o AS (SELECT path, min_by(id, (line_start, id)) AS first_id FROM x GROUP BY 1), a AS (SELECT path, coalesce(inner_id, main_id, first_id) AS id, inner_id FROM f JOIN o USING (path) LEFT JOIN r USING (path) LEFT JOIN m USING (path)),
+ p AS (SELECT a.path, min_by(k.id, (k.line_start, k.id)) AS id FROM a JOIN x ON x.id = a.inner_id JOIN x k ON k.path = x.path AND k.name = x.parent WHERE x.type = 'method' AND k.type = 'class' GROUP BY 1)
+ SELECT path AS cursor, id, 'entity' AS role FROM a UNION ALL SELECT path, id, 'parent' FROM p""")
 def ctx_cursor_entity(spark, d):
-    inside = codegraph.at_cursor(_placed(spark, d), _cursors(spark, d)).where("role = 'entity'")
-    # Only places within an entity: elsewhere a stand-in is chosen.
-    e = _placed(spark, d).select(F.col("id").alias("__id"), "line_start", "line_end")
-    at = _cursors(spark, d).select(F.col("cursor").alias("__c"), "line")
-    j = inside.join(e, F.col("id") == F.col("__id")).join(at, F.col("cursor") == F.col("__c"))
-    return j.where(F.col("line").between(F.col("line_start"), F.col("line_end"))).select("cursor", "id")
+    """Where no entity holds the middle of a file, the stand-in that is chosen."""
+    return codegraph.at_cursor(_placed(spark, d), _cursors(spark, d))
 
 
 @C.add("SELECT a.l_orderkey * 10 + a.l_linenumber AS seed, b.l_orderkey * 10 + b.l_linenumber AS key FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND abs(a.l_partkey - b.l_partkey) <= 50 AND a.l_orderkey * 10 + a.l_linenumber <> b.l_orderkey * 10 + b.l_linenumber")
@@ -331,8 +441,8 @@ def ctx_budget_fold(spark, d):
 @C.add()
 def ctx_assemble(spark, d):
     """Contexts for every Python file, as if it were completed in its middle, from its own repository."""
-    files = table(spark, d, "source_files").where("file_path like '%.py'")
-    tasks = _tasks(spark, d).where("file_path like '%.py'").join(files.select("file_id", "repo", "revision"), "file_id")
+    files = _python(spark, d)
+    tasks = _tasks(spark, d).join(files.select("file_id", "repo", "revision"), "file_id")
     path = F.concat_ws("/", F.col("file_id").cast("string"), "file_path")
     tasks = tasks.select(F.col("file_id").alias("task"), "repo", path.alias("path"), "prefix", "suffix", F.array(path).alias("modified"))
     own = table(spark, d, "entities").select("file_id", "name", "line_start", "signature", "raw_code", "docstring")
@@ -351,6 +461,40 @@ def ctx_render(spark, d):
     return assembly.rendered(items).select(F.col("task").alias("doc_id"), F.md5("context").alias("context"))
 
 
+@C.add("SELECT coalesce(source, 'none') AS source, count(*) AS n FROM documents GROUP BY 1")
+def ctx_source_counts(spark, d):
+    return assembly.source_counts(table(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("source")))
+
+
+@C.add("SELECT count(*) AS n, coalesce(sum(c), 0)::BIGINT AS n_chars, round(count(*) * 0.25::DOUBLE, 6) AS cost FROM (SELECT left(md5(raw_code), 16) AS k, max(length(docstring)) AS c FROM entities WHERE raw_code IS NOT NULL GROUP BY 1)")
+def cache_statistics(spark, d):
+    held = table(spark, d, "entities").select(T.content_key(F.col("raw_code")).alias("key"), F.col("docstring").alias("abstract"))
+    return assembly.cache_statistics(held, 0.25).withColumn("cost", F.round("cost", 6))
+
+
+@C.add("""WITH t AS (SELECT file_id AS task, repo, file_path FROM source_files), a AS (SELECT DISTINCT repo FROM source_files WHERE n_bytes > 3000), f AS (SELECT DISTINCT repo, file_path FROM source_files WHERE language IS NOT NULL), c AS (SELECT DISTINCT file_id FROM parse_results WHERE module_docstring <> ''),
+ s AS (SELECT t.repo, CASE WHEN a.repo IS NULL THEN 'no_archive' WHEN f.repo IS NULL THEN 'no_target' WHEN c.file_id IS NULL THEN 'no_context' ELSE 'ok' END AS s FROM t LEFT JOIN a ON t.repo = a.repo LEFT JOIN f ON t.repo = f.repo AND t.file_path = f.file_path LEFT JOIN c ON t.task = c.file_id)
+ SELECT repo, count(*) AS tasks, count(*) FILTER (s = 'ok') AS ok, count(*) FILTER (s = 'no_archive') AS no_archive, count(*) FILTER (s = 'no_target') AS no_target, count(*) FILTER (s = 'no_context') AS no_context FROM s GROUP BY 1""")
+def ctx_task_report(spark, d):
+    f = table(spark, d, "source_files")
+    contexts = table(spark, d, "parse_results").select(F.col("file_id").alias("task"), F.col("module_docstring").alias("context"))
+    return assembly.task_report(f.select(F.col("file_id").alias("task"), "repo", F.col("file_path").alias("path")), f.where("n_bytes > 3000").select("repo"), f.where("language is not null").select("repo", F.col("file_path").alias("path")), contexts)
+
+
+# Imports of names: each file asks for the first entities of the next file of its repository, by the module's last part.
+@C.add(NEXT + """, w2 AS (SELECT file_id, name, string_split(module, '.')[-1] AS module FROM w), l2 AS (SELECT s.repo, x.* FROM x JOIN source_files s ON x.path = s.file_id || '/' || s.file_path), w3 AS (SELECT w2.*, s.repo FROM w2 JOIN source_files s USING (file_id)),
+ k AS (SELECT w3.file_id, w3.name, w3.module, min(CASE WHEN contains(l2.path, w3.module) THEN '0' ELSE '1' END || l2.id) AS t FROM w3 JOIN l2 USING (repo, name) GROUP BY 1, 2, 3) SELECT file_id AS task, substr(t, 2) AS id FROM k""")
+def code_resolve_symbols(spark, d):
+    e = _listed(spark, d).withColumn("id", codegraph.entity_id(F.col("file_path"), F.col("name"), F.col("line_start")))
+    files = table(spark, d, "source_files")
+    path = F.concat_ws("/", F.col("file_id").cast("string"), "file_path")
+    first = e.groupBy("file_path").agg(F.min_by("name", F.col("line_start") * 1000 + F.length("name")).alias("name"))
+    follow = files.select(F.col("file_id").alias("task"), "repo", F.lead(path).over(codegraph.Window.partitionBy("repo").orderBy("file_id")).alias("next"))
+    want = follow.join(first, F.col("next") == F.col("file_path")).select("task", "repo", "name", F.element_at(F.split(F.regexp_replace("next", r"\.\w+$", ""), "/"), -1).alias("module"), F.lit("from").alias("type"), F.lit(0).alias("place"))
+    in_repo = e.join(files.select(path.alias("file_path"), "repo"), "file_path").select("repo", "name", "id", "file_path")
+    return completion.resolved_imports(want, in_repo).select("task", "id")
+
+
 @C.add("SELECT file_id FROM source_files ORDER BY file_id OFFSET 3 LIMIT 40")
 def ctx_task_page(spark, d):
     return assembly.paged(table(spark, d, "source_files").select("file_id"), [F.col("file_id")], 3, 40)
@@ -397,6 +541,13 @@ def sty_profile(spark, d):
     return p.select("repo", *[F.round(c, 6).alias(c) for c in [*style.SHARES, "avg_line_length"]], "sample_size")
 
 
+@C.add(f"""SELECT repo, 'Code style: ' || concat_ws(', ', 'Use ' || CASE WHEN naming_snake > 0.5 THEN 'snake_case' WHEN naming_camel > 0.5 THEN 'camelCase' WHEN naming_pascal > 0.5 THEN 'PascalCase' END || ' naming convention',
+ CASE WHEN type_hints > 0.5 THEN 'include type hints' ELSE 'avoid type hints' END, 'use ' || CASE WHEN doc_google > 0.3 THEN 'Google-style' WHEN doc_numpy > 0.3 THEN 'NumPy-style' WHEN doc_rest > 0.3 THEN 'reST-style' END || ' docstrings',
+ CASE WHEN quote_single > quote_double THEN 'prefer single quotes' ELSE 'prefer double quotes' END, CASE WHEN functional_ratio > 0.7 THEN 'favor functional programming' WHEN functional_ratio < 0.3 THEN 'favor object-oriented programming' END) || '.' AS style FROM {_profile("repo")}""")
+def sty_instruction(spark, d):
+    return style.profile(_styled(spark, d), ["repo"]).select("repo", style.instruction().alias("style"))
+
+
 def _kl_sql(names: list[str]) -> str:
     p = [f"greatest(p.{n}, 1e-10::DOUBLE)" for n in names]
     q = [f"greatest(q.{n}, 1e-10::DOUBLE)" for n in names]

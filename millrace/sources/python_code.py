@@ -1,6 +1,7 @@
 """Entities and imports of Python files, by the interpreter's own parser."""
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -8,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ENTITY = "name string, type string, line_start int, line_end int, signature string, raw_code string, docstring string, parent string, dependencies array<string>"
+_HEAD = re.compile(r"(?P<margin>[ \t]*)(?P<kind>def|class)[ \t]+(?P<name>\w+)")
 IMPORT = "type string, module string, name string, alias string, full_name string, level int"
 
 
@@ -63,6 +65,61 @@ def entities_of(code: str | None) -> list[dict]:
     return out
 
 
+def tolerant_entities_of(code: str | None) -> list[dict]:
+    """As entities_of; of code that doesn't parse, the functions and classes at its margin and the methods of these classes.
+
+    A block reaches from its head to the last further indented row. What parses by itself is taken from the parser; of the rest
+    the head is the signature, without documentation and calls. Blank rows and a head over several rows belong to the block.
+    """
+    if code is None or _tree(code) is not None:
+        return entities_of(code)
+    return _blocks(code.split("\n"), 0, "", None)
+
+
+def _blocks(rows: list[str], first: int, margin: str, parent: str | None) -> list[dict]:
+    """Entities of rows from place ``first`` on whose heads stand at a margin; parent: the class they are methods of."""
+    out: list[dict] = []
+    k = first
+    while k < len(rows):
+        m = _HEAD.match(rows[k])
+        if m is None or m["margin"] != margin:
+            k += 1
+            continue
+        end, depth = k + 1, _depth(rows[k])
+        while end < len(rows) and (depth > 0 or not rows[end].strip() or len(rows[end]) - len(rows[end].lstrip()) > len(margin)):
+            # A bracket left open reaches no further than the next head.
+            if depth > 0 and _HEAD.match(rows[end]) and len(_HEAD.match(rows[end])["margin"]) <= len(margin):
+                break
+            depth += _depth(rows[end])
+            end += 1
+        last = end
+        while last > k + 1 and not rows[last - 1].strip():
+            last -= 1
+        block = [r[len(margin) :] if r.startswith(margin) else r.lstrip() for r in rows[k:last]]
+        found = entities_of("\n".join(block))
+        kind = "class" if m["kind"] == "class" else "method" if parent else "function"
+        if found:
+            for e in found:
+                own = e["type"] != "method"
+                out.append(e | dict(line_start=e["line_start"] + k, line_end=e["line_end"] + k, type=kind if own else "method", parent=parent if own else e["parent"]))
+        else:
+            head = re.sub(r"\s+", " ", rows[k].strip()).rstrip(":")
+            out.append(dict(name=m["name"], type=kind, line_start=k + 1, line_end=last, signature=head, raw_code="\n".join(block), docstring=None, parent=parent, dependencies=[]))
+            if kind == "class" and parent is None:
+                inner = next((r for r in rows[k + 1 : last] if r.strip()), "")
+                deeper = inner[: len(inner) - len(inner.lstrip())]
+                if len(deeper) > len(margin):
+                    out += _blocks(rows[:last], k + 1, deeper, m["name"])
+        k = end
+    return out
+
+
+def _depth(row: str) -> int:
+    """Brackets that a row leaves open, texts and comments aside."""
+    plain = re.sub(r"\"[^\"]*\"|'[^']*'|#.*", "", row)
+    return sum(map(plain.count, "([{")) - sum(map(plain.count, ")]}"))
+
+
 def imports_of(code: str | None) -> list[dict]:
     """Import records anywhere in the code: one a name, level 0 for absolute ones. Code that doesn't parse gives none."""
     tree = _tree(code)
@@ -88,9 +145,9 @@ def _per_file(files: DataFrame, keep: list[str], content: str, find, schema: str
     return rows.mapInPandas(run, f"{kinds}, {schema}")
 
 
-def entities(files: DataFrame, keep: list[str], content: str = "content") -> DataFrame:
-    """keep columns and one row an entity of each file."""
-    return _per_file(files, keep, content, entities_of, ENTITY)
+def entities(files: DataFrame, keep: list[str], content: str = "content", tolerant: bool = False) -> DataFrame:
+    """keep columns and one row an entity of each file; tolerant: also of files that don't parse."""
+    return _per_file(files, keep, content, tolerant_entities_of if tolerant else entities_of, ENTITY)
 
 
 def imports(files: DataFrame, keep: list[str], content: str = "content") -> DataFrame:

@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.signals import split_leads, waveform, without_small
-
 
 class MissingAdapter(RuntimeError):
     """A step has no default; an adapter must be given."""
@@ -27,12 +25,6 @@ class Corrector(Protocol):
     def __call__(self, waves: np.ndarray) -> np.ndarray: ...
 
 
-class ImageDecoder(Protocol):
-    """An image file's bytes to a mask of its signal (rows by columns, 0 to 255)."""
-
-    def __call__(self, content: bytes) -> np.ndarray: ...
-
-
 class Fingerprinter(Protocol):
     """Molecule texts to a feature matrix."""
 
@@ -91,22 +83,6 @@ def fingerprints(df: DataFrame, text: str, make: Callable[[], Fingerprinter] | N
     return embedded(df, text, make, name)
 
 
-def digitised(files: DataFrame, make: Callable[[], ImageDecoder] | None, samples: int = 1_250) -> DataFrame:
-    """(record, lead, samples) of scanned pages (record, content): decoded to a mask by the adapter, split into leads and traced."""
-    need(make, "decoding images")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decode = make()
-        for b in batches:
-            out = []
-            for record, content in zip(b["record"], b["content"], strict=True):
-                mask = without_small(decode(bytes(content)))
-                out += [(record, lead, waveform(part, mask.shape[1] / 250.0, samples).tolist()) for lead, part in split_leads(mask).items()]
-            yield pd.DataFrame(out, columns=["record", "lead", "samples"])
-
-    return files.select("record", "content").mapInPandas(run, "record string, lead string, samples array<float>")
-
-
 def summarised(df: DataFrame, code: str, known: DataFrame, make: Callable[[], Summariser] | None, name: str = "abstract") -> DataFrame:
     """df with a description a code: from ``known`` (key, abstract) by content, else from the adapter; without one, null."""
     key = F.left(F.md5(F.col(code)), F.lit(16))

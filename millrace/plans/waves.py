@@ -1,9 +1,10 @@
 """Queries of the waveform operators on the test tables: embeddings stand for waveforms of 64 samples."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays as A
-from millrace.operators import signals
+from millrace.operators import pages, signals
 from millrace.plans.catalogue import Catalogue
 from millrace.plans.tables import table
 
@@ -59,10 +60,64 @@ def sig_summary(spark, d):
     return s.select(*[F.round(c, 6).alias(c) for c in ("mae", "rmse", "corr")], "n")
 
 
-@C.add("SELECT vec_id, 0.0::DOUBLE AS corr FROM embeddings")
+# Each vector with itself backwards, or, every third one, with a flat line.
+@C.add(f"""WITH {V}, p AS (SELECT vec_id, e, CASE WHEN vec_id % 3 = 0 THEN [1.5::DOUBLE for x in e] ELSE list_reverse(e) END AS g FROM v), m AS (SELECT *, list_sum(e) / 64 AS me, list_sum(g) / 64 AS mg FROM p),
+ c AS (SELECT *, list_sum([(z[1] - me) * (z[2] - mg) for z in list_zip(e, g)]) / 64 AS cov, sqrt(list_sum([(x - me) * (x - me) for x in e]) / 64) AS se, sqrt(list_sum([(x - mg) * (x - mg) for x in g]) / 64) AS sg FROM m)
+ SELECT vec_id, CASE WHEN se < 1e-8 OR sg < 1e-8 THEN 0 ELSE round(cov / (se * sg), 6) END::DOUBLE AS corr FROM c""")
 def sig_safe_corr(spark, d):
     flat = F.transform(F.col("samples"), lambda x: F.lit(1.5))
-    return _waves(spark, d).select("vec_id", A.safe_correlation(F.col("samples"), flat).alias("corr"))
+    other = F.when(F.col("vec_id") % 3 == 0, flat).otherwise(F.reverse(F.transform("samples", lambda x: x.cast("double"))))
+    return _waves(spark, d).select("vec_id", F.round(A.safe_correlation(F.col("samples"), other), 6).alias("corr"))
+
+
+# Twelve vectors are a record's leads; the truth is each one twice in a row, from a segment's start on, where it has a segment.
+def _leads(spark, d):
+    record = F.concat(F.lit("r"), F.expr("vec_id div 12").cast("string")).alias("record")
+    return _waves(spark, d).select("vec_id", record, F.get(F.array(*[F.lit(n) for n in signals.LEADS]), (F.col("vec_id") % 12).cast("int")).alias("lead"), "samples")
+
+
+LEADS_SQL = "['I', 'II', 'III', 'AVR', 'AVL', 'AVF', 'V1', 'V2', 'V3', 'V4', 'V5', 'V6'][vec_id % 12 + 1]"
+
+
+@C.add(f"""WITH {V}, s AS (SELECT vec_id, e, list_concat(e, e) AS t, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE vec_id % 7 END AS a, CASE WHEN vec_id % 3 = 0 THEN 128 ELSE 100 END AS n FROM v), k AS (SELECT vec_id, e, t[a + 1:a + n] AS c, n FROM s),
+ p AS (SELECT vec_id, e, [c[floor(i * n / 64.0::DOUBLE)::INT + 1] + (c[least(floor(i * n / 64.0::DOUBLE)::INT + 2, n)] - c[floor(i * n / 64.0::DOUBLE)::INT + 1]) * (i * n / 64.0::DOUBLE - floor(i * n / 64.0::DOUBLE)) for i in range(64)] AS g FROM k)
+ SELECT 'r' || vec_id // 12 AS record, {LEADS_SQL} AS lead, round(list_sum([abs(z[1] - z[2]) for z in list_zip(e, g)]) / 64, 6) AS mae, round(sqrt(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(e, g)]) / 64), 6) AS rmse FROM p""")
+def sig_pairs(spark, d):
+    w = _leads(spark, d)
+    truth = w.select("record", "lead", F.concat("samples", "samples").alias("samples"))
+    start = (F.col("vec_id") % 7).cast("int")
+    cuts = w.where("vec_id % 3 <> 0").select("record", "lead", F.lit(0).alias("place"), start.alias("start_sample"), (start + 100).alias("end_sample"))
+    m = signals.metrics(signals.pairs(w, truth, cuts), ["record", "lead"])
+    return m.select("record", "lead", F.round("mae", 6).alias("mae"), F.round("rmse", 6).alias("rmse"))
+
+
+@C.add("""WITH r AS (SELECT DISTINCT 'r' || vec_id // 12 AS record FROM embeddings), h AS (SELECT record, md5('42:' || record) AS h FROM r)
+ SELECT record, CASE WHEN CAST('0x' || substr(h, 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.2 OR h = (SELECT min(h) FROM h) THEN 'validation' ELSE 'train' END AS part FROM h""")
+def sig_train_validation(spark, d):
+    train, held = signals.train_validation(_leads(spark, d), 0.2)
+    return train.select("record", F.lit("train").alias("part")).unionByName(held.select("record", F.lit("validation").alias("part"))).distinct()
+
+
+# Every vector as a page: its twelve leads drawn in rows and columns, as a bitmap.
+@C.add()
+def sig_digitised(spark, d):
+    def draw(batches):
+        for b in batches:
+            yield b.assign(content=[page_of(np.stack(w)) for w in b["waves"]])[["record", "content"]]
+
+    def page_of(waves):
+        page = np.full((390, 1000), 255, np.uint8)
+        for k, w in enumerate(waves):
+            y0, x0 = 130 * (k // 4) + 65, 250 * (k % 4)
+            at = np.interp(np.linspace(0, len(w) - 1, 236), np.arange(len(w)), w)
+            rows = np.clip(np.rint(y0 - 40 * at).astype(int), 130 * (k // 4) + 8, 130 * (k // 4) + 121)
+            for x, (a, e) in enumerate(zip(rows, [*rows[1:], rows[-1]], strict=True)):
+                page[min(a, e) - 1 : max(a, e) + 2, x0 + 7 + x] = 0
+        return b"P5 1000 390 255\n" + page.tobytes()
+
+    w = _leads(spark, d).groupBy("record").agg(F.sort_array(F.collect_list(F.struct("vec_id", "samples"))).alias("w")).where("size(w) = 12")
+    drawn = w.select("record", F.transform("w", lambda x: x["samples"]).alias("waves")).mapInPandas(draw, "record string, content binary")
+    return pages.digitised(drawn, samples=64)
 
 
 @C.add(f"WITH {V}, s AS (SELECT label, avg(x) AS m, stddev_pop(x) AS s FROM (SELECT label, unnest(e) AS x FROM v) GROUP BY 1) SELECT vec_id, md5({_text('[(x - m) / s for x in e]')}) AS samples FROM v JOIN s USING (label)")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +35,7 @@ def required(spark: SparkSession, *paths: str) -> None:
 
 
 def csv(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None) -> DataFrame:
-    """A CSV file with a header, read by column name with the given types; entries that don't fit are null.
+    """A CSV file with a header, read by column name with the given types; entries that don't fit and empty texts are null.
 
     Files are read by position, so the header's order is looked up first; columns that the file lacks are null.
     """
@@ -53,12 +53,18 @@ def optional_parquet(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType = TASK, default_id: str = "task_") -> DataFrame:
-    """Tasks, one a line, with ``line_num`` from 0 and an ``id`` for lines without one. A line that is no JSON fails the read; blank lines count but give no row.
+    """Tasks, one a line, with ``line_num`` from 0 in its file and an ``id`` for lines without one. A line that is no JSON fails the
 
-    For line numbers a file is read whole, as order across parts of a file is not defined.
+    read; blank lines count but give no row. Files are read in splits: lines are numbered within a split and offset by
+    the splits of the file before, one short row a split.
     """
     required(spark, path)
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line_num", "line")).where("trim(line) <> ''")
+    # Within a partition rows come in the order of the file, split by split.
+    at = spark.read.text(path).select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__row"), "value")
+    splits = at.groupBy("__file", "__split").agg(F.min("__row").alias("__first"), F.count("*").alias("__n"))
+    w = Window.partitionBy("__file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(F.col("__file").alias("__f"), F.col("__split").alias("__s"), (F.coalesce(F.sum("__n").over(w), F.lit(0)) - F.col("__first")).alias("__add"))
+    lines = at.join(splits, (F.col("__file") == F.col("__f")) & (F.col("__split") == F.col("__s"))).select((F.col("__row") + F.col("__add")).cast("int").alias("line_num"), F.col("value").alias("line")).where("trim(line) <> ''")
     parsed = lines.select("line_num", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("t")).select("line_num", "t.*")
     if "id" in schema.names:
         parsed = parsed.withColumn("id", F.coalesce("id", F.concat(F.lit(default_id), F.col("line_num").cast("string"))))
@@ -100,7 +106,7 @@ def archives(spark: SparkSession, path: str, suffix: str = ".py", excluded: tupl
 
 
 def sources(spark: SparkSession, path: str, pattern: str = "*.py", excluded: tuple[str, ...] = ()) -> DataFrame:
-    """(path, content) of text files below a directory, without those under an excluded name."""
+    """(path, content) of text files below a directory, without those under an excluded name; files of no bytes give no row."""
     required(spark, path)
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     text = files.select("path", F.expr("decode(content, 'UTF-8')").alias("content")) if not spark.conf.get("spark.sql.ansi.enabled", "true") == "true" else files.select("path", _replaced(F.col("content")).alias("content"))
@@ -114,9 +120,30 @@ def _replaced(content: Column) -> Column:
     return F.pandas_udf(decode, "string")(content)
 
 
-def first_place(spark: SparkSession, candidates: list[str]) -> str | None:
-    """The first of several places that exists."""
-    return next((c for c in candidates if exists(spark, c)), None)
+# The folders that archives of the dataset stage may be in, in order.
+DATASET_FOLDERS = ["python-dataset", "python-dataset1", "dataset"]
+
+
+def candidates(archive: Column, stage: Column, repo: Column, revision: Column) -> Column:
+    """Where a task's repository may be, best first: for the dataset stage the archive's folder, then the archive, in each of
+
+    DATASET_FOLDERS; then the folder and the archive of the repository's name and revision in the stage's folder."""
+    named = F.concat(F.lit("python-"), stage, F.lit("/"), F.replace(repo, F.lit("/"), F.lit("__")), F.lit("-"), revision)
+    bare = F.replace(archive, F.lit(".zip"), F.lit(""))
+    sets = F.array(*[F.concat(F.lit(f"{d}/"), bare) for d in DATASET_FOLDERS], *[F.concat(F.lit(f"{d}/"), archive) for d in DATASET_FOLDERS])
+    own = F.array(named, F.concat(named, F.lit(".zip")))
+    return F.when((archive != "") & (stage == "dataset"), F.concat(sets, own)).otherwise(own)
+
+
+def located(tasks: DataFrame, places: DataFrame, stage: str = "practice") -> DataFrame:
+    """(id, place): for each task (id, repo, revision, archive, stage) the first of its candidates among the places (place) that are
+
+    there, null where none is. Tasks without a stage are of ``stage``. One equi-join; the choice is an aggregate.
+    """
+    there = places.select(F.col("place").alias("__there")).where("__there is not null").distinct()
+    tried = tasks.select("id", F.posexplode_outer(candidates(F.col("archive"), F.coalesce("stage", F.lit(stage)), F.col("repo"), F.col("revision"))).alias("__k", "__c"))
+    best = tried.join(there, F.col("__c") == F.col("__there"), "left").groupBy("id").agg(F.min(F.when(F.col("__there").isNotNull(), F.struct("__k", "__there"))).alias("b"))
+    return best.select("id", F.col("b.__there").alias("place"))
 
 
 def ontology(spark: SparkSession, path: str) -> DataFrame:

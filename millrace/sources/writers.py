@@ -2,8 +2,10 @@
 
 import io
 import zipfile
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def wide_labels(labels: DataFrame, rows: DataFrame, key: list[str], classes: lis
 def csv(df: DataFrame, path: str, order: list[str], one_file: bool = False) -> None:
     """CSV with a header, in order; one file only where it is asked for, as that takes one task."""
     ordered = df.repartition(1).sortWithinPartitions(*order) if one_file else df.orderBy(*order)
-    ordered.write.mode("overwrite").csv(path, header=True)
+    ordered.write.mode("overwrite").csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def json_lines(df: DataFrame, path: str, order: str, columns: list[str], append: bool = False) -> None:
@@ -43,6 +45,27 @@ def npz(waves: DataFrame, path: str) -> int:
     return n
 
 
+def binaries(df: DataFrame, path: str) -> None:
+    """One file a row (name, content) below a path, written by the tasks; names may hold folders. A repeated task overwrites its files.
+
+    path: with the scheme of a file system that all executors reach and pyarrow knows. Null names or contents write nothing.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path)
+        for b in batches:
+            for name, content in zip(b["name"], b["content"], strict=True):
+                at = f"{root}/{name}"
+                system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(at) as out:
+                    out.write(bytes(content))
+            yield pd.DataFrame({"n": [len(b)]})
+
+    df.where("name is not null and content is not null").select(F.col("name").cast("string"), F.col("content").cast("binary")).mapInPandas(run, "n long").agg(F.sum("n")).collect()
+
+
 def graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """The graph as two Parquet tables below a path; read back with ``spark.read.parquet``."""
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")

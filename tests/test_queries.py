@@ -2,10 +2,10 @@
 
 import pytest
 
-from millrace.plans import classes, code, general, general_sql, series, waves
+from millrace.plans import classes, code, files, general, general_sql, series, waves
 from tests.oracle import assert_same, connection
 
-CATALOGUES = [series.C, classes.C, code.C, waves.C]
+CATALOGUES = [series.C, classes.C, code.C, waves.C, files.C]
 QUERIES = dict(general.QUERIES)
 SQL = dict(general_sql.SQL)
 for c in CATALOGUES:

@@ -34,16 +34,15 @@ def rolling(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return med, mad
 
 
-def excursions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def excursions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each reading, of the spike of 1 to LONGEST readings around it that stands out most: by how much all of
 
-    its readings lie beyond the SIDE readings before and after; the distance of the levels (medians) before and
-    after; and how far the two readings next to it lie from the level, on the spike's side.
+    its readings lie beyond the SIDE readings before and after; and the distance of the levels (medians) before and after.
     """
     n = len(x)
-    best, step, shoulder = np.zeros(n), np.zeros(n), np.zeros(n)
+    best, step = np.zeros(n), np.zeros(n)
     if n < 3:
-        return best, step, shoulder
+        return best, step
     p = np.concatenate([np.full(SIDE, np.nan), x, np.full(SIDE, np.nan)])
     with np.errstate(invalid="ignore"):
         for size in range(1, min(LONGEST, n - 2) + 1):
@@ -61,14 +60,11 @@ def excursions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if not len(hit):
                 continue
             lb, la = _median(before[:, hit]), _median(after[:, hit])
-            level = _median(both[:, hit])
-            sign = np.where(up[hit] >= down[hit], 1.0, -1.0)
-            near = np.fmax(sign * (before[0, hit] - level), sign * (after[0, hit] - level))
             for j in range(size):
                 at = hit + j
                 more = e[hit] > best[at]
-                best[at[more]], step[at[more]], shoulder[at[more]] = e[hit][more], np.abs(lb - la)[more], np.fmax(near, 0)[more]
-    return best, step, shoulder
+                best[at[more]], step[at[more]] = e[hit][more], np.abs(lb - la)[more]
+    return best, step
 
 
 def _median(columns: np.ndarray) -> np.ndarray:
@@ -231,8 +227,11 @@ def implausible(
     idle: dict[str, float] | None = None,
     hampel: float = 3.0,
     noise: float = 4.0,
-    jump: float = 1.4,
-    usual: float = 2.5,
+    jump: float = 2.3,
+    usual: float = 3.0,
+    mild_jump: float = 1.4,
+    rare: float = 6.2,
+    back: float = 0.9,
     stuck_readings: int = 12,
     stuck_minutes: float = 90,
     rows_per_shard: int = ROWS_PER_SHARD,
@@ -241,9 +240,12 @@ def implausible(
 
     - ``impossible``: outside ``fields[f]``, in any row.
     - ``spike``: 1 to 3 readings in a row beyond ``hampel`` scaled MADs from the rolling median of 11 readings (the
-      Hampel filter) that lie beyond the four readings before and after, by more than ``noise`` times the median step
-      of this source, ``jump`` times the 97th percentile of its steps (its switching) and ``usual`` times its own common excursions (or 1.6 times, where the fall is abrupt on both
-      sides), and more than the level before and after differ; score is the excess over the median step.
+      Hampel filter; where a change of level widens the window's MAD beyond the source's median step, that step counts)
+      that lie beyond the four readings before and after, by more than ``noise`` times the median step, and by more than
+      ``back`` times the difference of the levels before and after. The excess must be more than ``jump`` times the 97th
+      percentile of the source's steps (its switching) and ``usual`` times its common excursions, or more than ``mild_jump``
+      and ``rare`` times these; common excursions count as no larger than the switching, as in a calm source spikes
+      themselves would be what is common. score is the excess over the median step.
     - ``stuck``: runs of at least ``stuck_readings`` readings over ``stuck_minutes`` with one value, except values up to
       ``idle[f]``; score is the run's length.
 
@@ -269,11 +271,12 @@ def implausible(
                 own = x[lo:hi]
                 # Spikes.
                 flat = cell["noise"].as_py() or 0.0
-                habit, common = cell["usual"].as_py() or 0.0, cell["jump"].as_py() or 0.0
+                switching = cell["jump"].as_py() or 0.0
+                common = min(cell["usual"].as_py() or 0.0, switching)
                 med, mad = rolling(x)
-                e, step, shoulder = excursions(x)
-                spike = (np.abs(x - med) > hampel * 1.4826 * mad) & (e > noise * flat) & (e > jump * common) & (e > 1.2 * step) & (e > 0)
-                spike &= (e > usual * habit) | ((e > 1.6 * habit) & (shoulder < 0.15 * e) & (step < 0.3 * e))
+                e, step = excursions(x)
+                spike = (np.abs(x - med) > hampel * np.minimum(1.4826 * mad, flat)) & (e > noise * flat) & (e > back * step) & (e > 0)
+                spike &= ((e > jump * switching) & (e > usual * common)) | ((e > mild_jump * switching) & (e > rare * common))
                 spike = spike[lo:hi]
                 # Stuck values: runs at the shard's ends have the totals of the whole run.
                 starts = _runs(own)

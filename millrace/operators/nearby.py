@@ -61,29 +61,46 @@ def disc_trapezoids(discs: DataFrame, radius_m: float, bands: int = 6) -> DataFr
 
 
 def polygon_trapezoids(polygons: DataFrame) -> DataFrame:
-    """The trapezoids of polygons (region, ring: array<struct<lon,lat>>; closed or not, holes as further rows of the
+    """The trapezoids of polygons (region, ring: array<struct<lon,lat>>; closed or not): between the parallels through
 
-    same region are not supported): between the parallels through consecutive vertices, by the even-odd rule.
-    Rings of fewer than three points, or with a null, give none. Edges must not cross the date line.
+    consecutive vertices, by the even-odd rule over all rings of a region, so a ring within another is a hole. Rings of fewer
+    than three points, or with a null, are none. Edges must cross neither the date line nor one another. A region's
+    rings meet in one task, as its trapezoids lie between edges of all of them.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for region, ring in zip(b["region"], b["ring"], strict=True):
-                pts = [(p["lon"], p["lat"]) for p in ring] if ring is not None else []
-                if len(pts) < 3 or any(c is None or c != c for p in pts for c in p):
-                    continue
-                sides = [(p, q) if p[1] < q[1] else (q, p) for p, q in zip(pts, pts[1:] + pts[:1], strict=True) if p[1] != q[1]]
-                levels = sorted({p[1] for p in pts})
-                for y0, y1 in zip(levels[:-1], levels[1:], strict=True):
-                    at = [((q[0] - p[0]) / (q[1] - p[1]), p) for p, q in sides if p[1] <= y0 and q[1] >= y1]
-                    xs = sorted((p[0] + m * (y0 - p[1]), p[0] + m * (y1 - p[1])) for m, p in at)
-                    xs.sort(key=lambda e: e[0] + e[1])
-                    out += [(region, y0, y1, a[0], a[1], c[0], c[1]) for a, c in zip(xs[::2], xs[1::2], strict=True)]
+            for region, rings in zip(b["region"], b["rings"], strict=True):
+                sides, levels = [], set()
+                for ring in rings:
+                    pts = [(float(x), float(y)) if x is not None and y is not None else (math.nan, math.nan) for x, y in zip(ring["x"], ring["y"], strict=True)]
+                    if len(pts) >= 3 and all(c == c for p in pts for c in p):
+                        sides += [(p, q) if p[1] < q[1] else (q, p) for p, q in zip(pts, pts[1:] + pts[:1], strict=True) if p[1] != q[1]]
+                        levels |= {p[1] for p in pts}
+                out += _between(region, sides, sorted(levels))
             yield pd.DataFrame(out, columns=["region", "y0", "y1", "l0", "l1", "r0", "r1"])
 
-    return polygons.select("region", "ring").mapInPandas(run, "region string, y0 double, y1 double, l0 double, l1 double, r0 double, r1 double")
+    corners = F.struct(F.transform("ring", lambda p: p["lon"].cast("double")).alias("x"), F.transform("ring", lambda p: p["lat"].cast("double")).alias("y"))
+    whole = polygons.where("region is not null and ring is not null").groupBy("region").agg(F.collect_list(corners).alias("rings"))
+    return whole.mapInPandas(run, "region string, y0 double, y1 double, l0 double, l1 double, r0 double, r1 double")
+
+
+def _between(region: str, sides: list, levels: list[float]) -> list[tuple]:
+    """Level by level, the trapezoids between the first and second, third and fourth side, and so on."""
+    out = []
+    ahead = sorted(sides, key=lambda e: e[0][1])
+    here: list = []
+    k = 0
+    for y0, y1 in zip(levels[:-1], levels[1:], strict=True):
+        here = [e for e in here if e[1][1] >= y1]
+        while k < len(ahead) and ahead[k][0][1] <= y0:
+            here += [ahead[k]] if ahead[k][1][1] >= y1 else []
+            k += 1
+        at = [((q[0] - p[0]) / (q[1] - p[1]), p) for p, q in here]
+        xs = sorted(((p[0] + m * (y0 - p[1]), p[0] + m * (y1 - p[1])) for m, p in at), key=lambda e: e[0] + e[1])
+        out += [(region, y0, y1, a[0], a[1], c[0], c[1]) for a, c in zip(xs[::2], xs[1::2], strict=True)]
+    return out
 
 
 def located(points: DataFrame, trapezoids: DataFrame, slab_deg: float, cell_deg: float) -> DataFrame:
@@ -91,8 +108,7 @@ def located(points: DataFrame, trapezoids: DataFrame, slab_deg: float, cell_deg:
 
     slab_deg, cell_deg: height and width of cells, best a little more than those of a usual trapezoid. A trapezoid goes
     to all cells that it touches, a point to one. Cells with more than TILE points or trapezoids are cut into tiles:
-    each point to one, trapezoids to one per share of the points. Within a tile the trapezoids of a sub-slab are in order of
-    their left edges, and a point finds by binary search those that begin left of it, no further than the widest reaches.
+    each point to one, trapezoids to one per share of the points. Within a tile see ``meet``.
     """
     slab = lambda c: F.floor(c / slab_deg).cast("long")
     cell = lambda c: F.floor(c / cell_deg).cast("long")
@@ -132,31 +148,59 @@ def located(points: DataFrame, trapezoids: DataFrame, slab_deg: float, cell_deg:
 
 
 def meet(rows: pd.DataFrame) -> pd.DataFrame:
-    """The points of a tile, located among its trapezoids: by binary search in the sub-slabs between the trapezoids' parallels."""
+    """The points of a tile, located among its trapezoids.
+
+    Trapezoids of like height (within a factor of two) are put in sub-slabs of about that height, those of like width
+    among them in order of their left edges; a point finds by binary search in its sub-slabs those that begin left of it, no
+    further than the widest alike. So a wide or high one among many small ones adds no candidates but itself.
+    """
     traps, points = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
     found_p, found_t = [], []
     if len(traps) and len(points):
         y0, y1, l0, l1, r0, r1 = (traps[c].to_numpy() for c in ("y0", "y1", "l0", "l1", "r0", "r1"))
         left = np.minimum(l0, l1)
-        order = np.argsort(left, kind="stable")
-        y0, y1, l0, l1, r0, r1, left = (a[order] for a in (y0, y1, l0, l1, r0, r1, left))
-        widest = float((np.maximum(r0, r1) - left).max())
+        width, height = np.maximum(r0, r1) - left, y1 - y0
         py, px = points["y0"].to_numpy(), points["l0"].to_numpy()
-        lo, hi = np.searchsorted(left, px - widest, "left"), np.searchsorted(left, px, "right")
-        # A block of points at a time: their candidates are the edges between both searches.
-        for s in range(0, len(px), 256):
-            n = hi[s : s + 256] - lo[s : s + 256]
-            i = np.repeat(np.arange(s, min(s + 256, len(px))), n)
-            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[s : s + 256], n)
-            y, x = py[i], px[i]
-            share = (y - y0[j]) / np.maximum(y1[j] - y0[j], 1e-300)
-            hit = (y >= y0[j]) & (y <= y1[j]) & (x >= l0[j] + share * (l1[j] - l0[j])) & (x <= r0[j] + share * (r1[j] - r0[j]))
-            found_p.append(i[hit])
-            found_t.append(order[j[hit]])
+        base = y0.min()
+        # No more than 4,096 sub-slabs, so that places and sub-slabs fit one number.
+        least = max((max(y1.max(), py.max()) - base) / 4_096, 1e-9)
+        high = np.ceil(np.log2(np.maximum(height, least))).astype(int)
+        wide = np.ceil(np.log2(np.maximum(width, 1e-9))).astype(int)
+        for h, w in sorted(set(zip(high.tolist(), wide.tolist(), strict=True))):
+            own = np.nonzero((high == h) & (wide == w))[0]
+            size = 2.0**h
+            first, last = np.floor((y0[own] - base) / size), np.floor((y1[own] - base) / size)
+            n = (last - first).astype(int) + 1
+            t = np.repeat(own, n)
+            slab = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            # Longitudes, and the width before them, fall short of 1,000.
+            place = slab * 1_000 + left[t] + 200
+            order = np.argsort(place, kind="stable")
+            place, t = place[order], t[order]
+            at = np.floor((py - base) / size) * 1_000 + px + 200
+            lo, hi = np.searchsorted(place, at - width[own].max() - 1e-6, "left"), np.searchsorted(place, at + 1e-6, "right")
+            # A block of points at a time: their candidates are the edges between both searches.
+            for s in range(0, len(px), 256):
+                n = hi[s : s + 256] - lo[s : s + 256]
+                i = np.repeat(np.arange(s, min(s + 256, len(px))), n)
+                j = t[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[s : s + 256], n)]
+                y, x = py[i], px[i]
+                share = (y - y0[j]) / np.maximum(y1[j] - y0[j], 1e-300)
+                hit = (y >= y0[j]) & (y <= y1[j]) & (x >= l0[j] + share * (l1[j] - l0[j])) & (x <= r0[j] + share * (r1[j] - r0[j]))
+                found_p.append(i[hit])
+                found_t.append(j[hit])
     i, j = (np.concatenate(a) if a else np.empty(0, int) for a in (found_p, found_t))
     return pd.DataFrame({"id": points["id"].to_numpy()[i], "region": traps["id"].to_numpy()[j]})
 
 
+def inside(points: DataFrame, polygons: DataFrame, slab_deg: float = 0.1, cell_deg: float = 0.2) -> DataFrame:
+    """(id, region): each place (id, lat, lon) with each region (polygons: region, ring) that holds it, each pair once.
+
+    An id with several places has the regions of all. Points on an edge are inside. Empty inputs give no rows.
+    """
+    return located(points, polygon_trapezoids(polygons), slab_deg, cell_deg).distinct()
+
+
 def within(points: DataFrame, centres: DataFrame, radius_m: float) -> DataFrame:
     """(id, centre, metres): each place (id, lat, lon) and each centre (id, lat, lon) at most radius_m apart, each pair once.
 

@@ -1,5 +1,7 @@
 """Queries of this subpackage on the test tables, and their SQL for DuckDB."""
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from millrace.operators.readings import instant, named
 from millrace.plans.tables import table
 
 SHARES = [0.05, 0.25, 0.5, 0.75, 0.95, 0.995]
+ERROR = 0.01
 
 
 def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -47,14 +50,15 @@ def p7_device_day(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_combined(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of x2 per device over all days, from the days' frequencies."""
+    """Percentiles of x2 per device over all days, from the days' frequencies; readings without a usable day are in no day."""
     days = percentiles.frequencies(_powers(spark, d), ["deviceId", "day"], "x2")
     return percentiles.percentiles(percentiles.combined([days], ["deviceId"]), ["deviceId"], SHARES)
 
 
 def p7_bounded(spark: SparkSession, d: str) -> DataFrame:
     """As p7_device, off by at most one in a hundred, from at most some hundred counts a device."""
-    return percentiles.percentiles(percentiles.frequencies(_powers(spark, d), ["deviceId"], "x2", 0.01), ["deviceId"], SHARES)
+    found = percentiles.percentiles(percentiles.frequencies(_powers(spark, d), ["deviceId"], "x2", ERROR), ["deviceId"], SHARES)
+    return found.withColumn("value", F.round("value", 9))
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
@@ -95,17 +99,23 @@ _EPOCH_S = r"""CASE WHEN regexp_matches(trim(timedate), '^\d{4}-\d{2}-\d{2}[ T]\
     ELSE 0 END END"""
 
 
-def _percentile_sql(by: str) -> str:
+def _percentile_sql(by: str, value: str = "x2", more: str = "", digits: str = "value") -> str:
     keys = by.split(", ")
-    same = " AND ".join(f"q.{k} = r.{k}" for k in keys)
     return f"""
-WITH v AS (SELECT {_NAME} AS "deviceId", CAST(floor(({_EPOCH_S}) / 86400) AS BIGINT) AS day, x2 AS value FROM device_data WHERE x2 IS NOT NULL AND NOT isnan(x2)),
-     k AS (SELECT * FROM v WHERE {" AND ".join(f"{k} IS NOT NULL" for k in keys)}),
+WITH v AS (SELECT {_NAME} AS "deviceId", CAST(floor(({_EPOCH_S}) / 86400) AS BIGINT) AS day, {value} AS value FROM device_data WHERE x2 IS NOT NULL AND NOT isnan(x2)),
+     k AS (SELECT * FROM v WHERE {" AND ".join(f"{k} IS NOT NULL" for k in keys)}{more}),
      r AS (SELECT {by}, value, row_number() OVER (PARTITION BY {by} ORDER BY value) AS rn, count(*) OVER (PARTITION BY {by}) AS n_rows FROM k),
      s AS (SELECT unnest([{", ".join(map(str, SHARES))}]::DOUBLE[]) AS share)
-SELECT {by}, share, value, n_rows FROM r CROSS JOIN s WHERE rn = greatest(1, CAST(ceil(share * n_rows - 1e-9) AS BIGINT))
+SELECT {by}, share, {digits} AS value, n_rows FROM r CROSS JOIN s WHERE rn = greatest(1, CAST(ceil(share * n_rows - 1e-9) AS BIGINT))
 """
 
 
-SQL: dict[str, str] = {"p7_device": _percentile_sql("deviceId"), "p7_combined": _percentile_sql("deviceId"), "p7_device_day": _percentile_sql("deviceId, day")}
-SQL["p7_combined"] = SQL["p7_combined"].replace("FROM k),", "FROM k WHERE day IS NOT NULL),")
+# The representative of a value's geometric bucket.
+_BASE = math.log1p(2 * ERROR / (1 - ERROR))
+_BUCKET = f"CASE WHEN x2 = 0 THEN 0 ELSE sign(x2) * exp(floor(ln(abs(x2)) / {_BASE!r}::DOUBLE) * {_BASE!r}::DOUBLE) * {1 + ERROR}::DOUBLE END"
+SQL: dict[str, str] = {
+    "p7_device": _percentile_sql("deviceId"),
+    "p7_combined": _percentile_sql("deviceId", more=" AND day IS NOT NULL"),
+    "p7_device_day": _percentile_sql("deviceId, day"),
+    "p7_bounded": _percentile_sql("deviceId", _BUCKET, digits="round(value, 9)"),
+}

@@ -2,6 +2,7 @@
 
 import re
 from collections.abc import Iterator
+from inspect import cleandoc
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,8 +20,8 @@ def paired(entities: DataFrame, files: DataFrame, *, only_documented: bool = Tru
     and other types are left out; so are rows without file_id, name or line_start. The identity is (file_id, name,
     line_start); of several listings the first non-blank value counts, the smallest if they differ.
 
-    documentation: the listed docstring without its delimiters if it isn't blank, else that of the island which the
-    file's language grammar finds on the line, else that in raw_code. Code and signature likewise, the listing first.
+    documentation: that of the island which the file's language grammar finds on the line, without its delimiters; else the
+    listed docstring, else that of the island in raw_code. Code and signature are as listed, else the island's.
     In damaged files, where a text left open hides the rest, the island is parsed from its own line on. Entities whose
     file is missing have their listing only. only_documented keeps those whose documentation says what the code does.
 
@@ -46,8 +47,8 @@ def paired(entities: DataFrame, files: DataFrame, *, only_documented: bool = Tru
                     if water is not None and 1 <= line <= len(water.lines):
                         hidden = water.covered(water.starts[line - 1] + len(water.lines[line - 1]) - len(water.lines[line - 1].lstrip()))
                         found = at_line(Water(content, language, water.starts[line - 1]) if hidden else water, line, name)
-                    doc = cleaned(e["docstring"]) or None
-                    doc = doc or (cleaned(found.doc) if found else None)
+                    doc = cleaned(cleandoc(found.doc) if language == "python" else found.doc) if found and found.doc else None
+                    doc = doc or cleaned(e["docstring"])
                     if not doc and e["raw_code"] and language == "python":
                         own = at_line(Water(e["raw_code"], language), 1, name)
                         doc = cleaned(own.doc) if own else None

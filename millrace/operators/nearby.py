@@ -127,40 +127,56 @@ def located(points: DataFrame, trapezoids: DataFrame, slab_deg: float, cell_deg:
     rows = rows.repartition("slab", "cell", "a", "b").sortWithinPartitions("slab", "cell", "a", "b", "kind")
     tile = ["slab", "cell", "a", "b"]
 
+    columns = ["kind", "id", "y0", "y1", "l0", "l1", "r0", "r1"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held: list[dict[str, np.ndarray]] = []
         key = None
+
+        def joined() -> dict[str, np.ndarray]:
+            return held[0] if len(held) == 1 else {c: np.concatenate([h[c] for h in held]) for c in columns}
+
         for b in batches:
             if b.empty:
                 continue
-            change = (b[tile].to_numpy()[1:] != b[tile].to_numpy()[:-1]).any(axis=1).nonzero()[0] + 1
-            for lo, hi in zip([0, *change], [*change, len(b)], strict=True):
-                k = tuple(b[tile].iloc[lo])
+            keys, values = b[tile].to_numpy(), {c: b[c].to_numpy() for c in columns}
+            change = (keys[1:] != keys[:-1]).any(axis=1).nonzero()[0] + 1
+            found = []
+            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), len(b)], strict=True):
+                k = tuple(keys[lo].tolist())
                 if k != key and held:
-                    yield meet(pd.concat(held))
+                    found.append(_met(joined()))
                     held = []
                 key = k
-                held.append(b.iloc[lo:hi])
+                held.append({c: v[lo:hi] for c, v in values.items()})
+            if found:
+                yield pd.DataFrame({"id": np.concatenate([f[0] for f in found]), "region": np.concatenate([f[1] for f in found])})
         if held:
-            yield meet(pd.concat(held))
+            yield pd.DataFrame(dict(zip(("id", "region"), _met(joined()), strict=True)))
 
     return rows.mapInPandas(run, "id string, region string")
 
 
 def meet(rows: pd.DataFrame) -> pd.DataFrame:
+    """(id, region): the points of a tile (kind 1) with the trapezoids (kind 0) that hold them."""
+    return pd.DataFrame(dict(zip(("id", "region"), _met({c: rows[c].to_numpy() for c in rows.columns}), strict=True)))
+
+
+def _met(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The points of a tile, located among its trapezoids.
 
     Trapezoids of like height (within a factor of two) are put in sub-slabs of about that height, those of like width
     among them in order of their left edges; a point finds by binary search in its sub-slabs those that begin left of it, no
     further than the widest alike. So a wide or high one among many small ones adds no candidates but itself.
     """
-    traps, points = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
+    is_point = rows["kind"] == 1
+    names, regions = rows["id"][is_point], rows["id"][~is_point]
     found_p, found_t = [], []
-    if len(traps) and len(points):
-        y0, y1, l0, l1, r0, r1 = (traps[c].to_numpy() for c in ("y0", "y1", "l0", "l1", "r0", "r1"))
+    if len(names) and len(regions):
+        y0, y1, l0, l1, r0, r1 = (rows[c][~is_point].astype(float) for c in ("y0", "y1", "l0", "l1", "r0", "r1"))
         left = np.minimum(l0, l1)
         width, height = np.maximum(r0, r1) - left, y1 - y0
-        py, px = points["y0"].to_numpy(), points["l0"].to_numpy()
+        py, px = rows["y0"][is_point].astype(float), rows["l0"][is_point].astype(float)
         base = y0.min()
         # No more than 4,096 sub-slabs, so that places and sub-slabs fit one number.
         least = max((max(y1.max(), py.max()) - base) / 4_096, 1e-9)
@@ -190,7 +206,7 @@ def meet(rows: pd.DataFrame) -> pd.DataFrame:
                 found_p.append(i[hit])
                 found_t.append(j[hit])
     i, j = (np.concatenate(a) if a else np.empty(0, int) for a in (found_p, found_t))
-    return pd.DataFrame({"id": points["id"].to_numpy()[i], "region": traps["id"].to_numpy()[j]})
+    return names[i], regions[j]
 
 
 def inside(points: DataFrame, polygons: DataFrame, slab_deg: float = 0.1, cell_deg: float = 0.2) -> DataFrame:

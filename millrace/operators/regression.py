@@ -98,6 +98,12 @@ def _single(x: Column) -> Column:
     return F.transform(x, lambda v: v.cast("float").cast("double"))
 
 
+def _dot(x: Column, m: Column, s: Column, w: Column) -> Column:
+    """The features less m, over s, times the weights, summed."""
+    z = F.zip_with(F.zip_with(_single(x), m, lambda a, c: a - c), s, lambda a, c: a / c)
+    return F.aggregate(F.zip_with(z, w, lambda a, c: a * c), F.lit(0.0), lambda t, v: t + v)
+
+
 def sums(df: DataFrame, by: list[str], size: int, x: str, target: str, where: Column | None = None) -> DataFrame:
     """(by, n, sums, products): over the rows' [features, target], the upper triangle of products by rows. One row without by."""
     z = [F.get("__x", F.lit(i)) for i in range(size)] + [F.col("__y")]
@@ -186,16 +192,12 @@ def predict_monthly(train: DataFrame, predict: DataFrame, *, key: str, row: str,
     models = chosen.groupBy(key).cogroup(total.groupBy("__key")).applyInPandas(fit, kinds)
     joined = predict.select(key, "year", "month", "x").join(models.withColumnRenamed(key, "__key"), F.col(key) == F.col("__key"))
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = np.empty(len(b))
-            for _, rows in b.groupby("__key", sort=False).indices.items():
-                model = {f: b[f].iloc[rows[0]] for f in fields}
-                out[rows] = predict_two_stage(model, _matrix(b["x"].iloc[rows]))
-            yield b[[key, "year", "month"]].assign(p=out)
-
-    kinds = f"`{key}` {dict(predict.dtypes)[key]}, year int, month int, p double"
-    each = joined.mapInPandas(apply, kinds)
+    # Linear models are applied by array functions, so rows stay in the JVM.
+    c = F.col
+    level = F.greatest(F.lit(0.0), _dot(c("x"), c("m"), c("s"), c("w")) + c("b"))
+    second = F.greatest(F.lit(0.0), _dot(c("x"), c("m2"), c("s2"), c("w")) + c("b"))
+    chance = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), _dot(c("x"), c("m"), c("s"), c("wl")) + c("bl")))))
+    each = joined.select(key, "year", "month", F.when(c("kind") == "ridge", level).otherwise(chance * second).alias("p"))
     means = each.groupBy(key, "year", "month").agg(F.avg("p").alias("prediction"))
     return means.withColumn("prediction", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "prediction")))
 
@@ -216,9 +218,7 @@ def holdout(context: DataFrame, held: DataFrame, *, key: str, row: str, target:
             yield pd.DataFrame([[k, m["m"], m["s"], m["w"], m["b"]] for k, m in zip(b[key], models, strict=True)], columns=["__key", "m", "s", "w", "b"])
 
     models = sums(context, [key], size, "x", target).mapInPandas(fit, f"__key {kind}, m array<double>, s array<double>, w array<double>, b double")
-    # A linear model is applied by array functions, so rows stay in the JVM.
-    z = F.zip_with(F.zip_with("x", "m", lambda a, c: a.cast("float").cast("double") - c), "s", lambda a, c: a / c)
-    dot = F.aggregate(F.zip_with(z, F.col("w"), lambda a, c: a * c), F.lit(0.0), lambda t, v: t + v)
+    dot = _dot(F.col("x"), F.col("m"), F.col("s"), F.col("w"))
     scored = held.join(models, F.col(key) == F.col("__key")).withColumn("__p", F.greatest(F.lit(0.0), dot + F.col("b")))
     result = scored.groupBy(key).agg(F.avg(target).alias("actual"), F.avg("__p").alias("predicted"))
     base = context.groupBy(F.col(key).alias("__key")).agg(F.avg(target).alias("baseline"))

@@ -4,11 +4,14 @@ import os
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[list] = []
+
 
 def folder(spark: SparkSession) -> str:
     """The cluster's shared folder, spark.checkpoint.dir. Where that is unset a local one is made for a local master; a cluster
@@ -36,9 +39,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def removed_at_end(spark: SparkSession, path: str) -> None:
-    """Has a path deleted when the driver ends."""
+    """Has a path deleted when the driver ends, or before, when the innermost ``scratch`` ends."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    if _scopes:
+        _scopes[-1].append(at)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that were written in its block when that ends, for long sessions: results must be consumed within it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for at in _scopes.pop():
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def once(name: str, make: Callable[[], Any]) -> Any:

@@ -130,6 +130,15 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     assert shared.folder(spark)
 
 
+def test_scratch_tables_go_with_their_block(spark):
+    with shared.scratch(spark):
+        df = shared.written(spark.range(5), "scratch")
+        path = df.inputFiles()[0]
+        assert df.count() == 5 and readers.exists(spark, path)
+    assert not readers.exists(spark, path)
+    assert shared.written(spark.range(3), "scratch").count() == 3
+
+
 def test_entities_of_broken_python(spark):
     code = "import os\n\ndef good(a: int) -> int:\n    '''Doc.'''\n    return len(a)\n\nclass K(Base):\n    def m(self):\n        return g(\n            1)\n\n    def broken(self:\n        pass\n\ndef cut(x,\n"
     got = [(e["name"], e["type"], e["line_start"], e["line_end"], e["parent"], e["docstring"], e["dependencies"]) for e in python_code.tolerant_entities_of(code)]

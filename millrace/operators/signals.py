@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays as A
+from millrace.plans.ranges import running
 
 # The twelve leads in order, and the layout of a page's rows.
 LEADS = ["I", "II", "III", "AVR", "AVL", "AVF", "V1", "V2", "V3", "V4", "V5", "V6"]
@@ -85,16 +86,16 @@ def zero_filled(records: DataFrame, waves: DataFrame, leads: list[str] = LEADS,
 
 
 def train_validation(waves: DataFrame, ratio: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Waves split by record: the records whose hash falls into the first ``ratio`` (of all, the one of the smallest hash at
+    """Waves split by record: about ``ratio`` of the records (one at least) for validation, in the order of a hash; fewer than two
 
-    least) are for validation; fewer than two records are in both. Nothing is ranked: records are compared with a threshold.
+    records are in both. The order is by running counts over ranges of the hash, so no task ranks all records.
     """
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), "record"))
-    # One row: the first record by hash, and whether there is another.
-    first = waves.where("record is not null").agg(F.min(F.struct(h.alias("h"), "record")).alias("__first"), (F.min("record") != F.max("record")).alias("__more"))
-    marked = waves.where("record is not null").crossJoin(F.broadcast(first))
-    held = (F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / 2**32 < ratio) | (F.col("record") == F.col("__first.record"))
-    return marked.where(~held | ~F.col("__more")).drop("__first", "__more"), marked.where(held | ~F.col("__more")).drop("__first", "__more")
+    records = waves.where("record is not null").select("record", h.alias("h")).distinct().withColumn("n", F.lit(1))
+    ranked = running(records, [], "h", "n", "place", "records")
+    held = ranked.where(F.col("place") <= F.greatest(F.lit(1), F.round(F.col("records") * ratio))).select(F.col("record").alias("__record"), "records")
+    both = waves.where("record is not null").join(held, F.col("record") == F.col("__record"), "left")
+    return both.where("__record is null or records < 2").drop("__record", "records"), both.where("__record is not null").drop("__record", "records")
 
 
 def scale_of(waves: DataFrame, by: list[str]) -> DataFrame:

@@ -91,8 +91,8 @@ def sig_pairs(spark, d):
     return m.select("record", "lead", F.round("mae", 6).alias("mae"), F.round("rmse", 6).alias("rmse"))
 
 
-@C.add("""WITH r AS (SELECT DISTINCT 'r' || vec_id // 12 AS record FROM embeddings), h AS (SELECT record, md5('42:' || record) AS h FROM r)
- SELECT record, CASE WHEN CAST('0x' || substr(h, 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.2 OR h = (SELECT min(h) FROM h) THEN 'validation' ELSE 'train' END AS part FROM h""")
+@C.add("""WITH r AS (SELECT DISTINCT 'r' || vec_id // 12 AS record FROM embeddings), h AS (SELECT record, row_number() OVER (ORDER BY md5('42:' || record)) AS k, count(*) OVER () AS n FROM r)
+ SELECT record, CASE WHEN k <= greatest(1, round(n * 0.2::DOUBLE)) THEN 'validation' ELSE 'train' END AS part FROM h""")
 def sig_train_validation(spark, d):
     train, held = signals.train_validation(_leads(spark, d), 0.2)
     return train.select("record", F.lit("train").alias("part")).unionByName(held.select("record", F.lit("validation").alias("part"))).distinct()

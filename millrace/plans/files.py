@@ -43,7 +43,7 @@ def src_csv(spark, d):
     at = _place(spark, "csv")
     writers.csv(table(spark, d, "device_data"), at, ["reading_id"])
     schema = T.StructType([T.StructField("reading_id", T.LongType()), *readers.READING.fields])
-    return readers.csv(spark, at, schema, ["reading_id", "deviceId", "timedate", "period", "x2", "t4"])
+    return readers.csv(spark, at, schema, ["reading_id", "deviceId", "timedate", "period", "x2", "t4"], multi_line=True)
 
 
 @C.add("SELECT count(*) AS n, count(DISTINCT \"deviceId\") AS n_devices FROM devices")

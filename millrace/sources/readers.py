@@ -34,16 +34,18 @@ def required(spark: SparkSession, *paths: str) -> None:
         raise FileNotFoundError(", ".join(missing))
 
 
-def csv(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None) -> DataFrame:
+def csv(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None, multi_line: bool = False) -> DataFrame:
     """A CSV file with a header, read by column name with the given types; entries that don't fit and empty texts are null.
 
     Files are read by position, so the header's order is looked up first; columns that the file lacks are null.
+    multi_line: quoted texts may have line breaks. A file then isn't split, and a quote that is never closed takes the rest of
+    it; ``writers.csv`` closes all and writes as many files as its sort has partitions.
     """
     required(spark, path)
     header = spark.read.csv(path, header=True).columns
     kinds = {f.name: f.dataType for f in schema.fields}
     full = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header])
-    df = spark.read.csv(path, header=True, schema=full, enforceSchema=True, mode="PERMISSIVE")
+    df = spark.read.csv(path, header=True, schema=full, enforceSchema=True, mode="PERMISSIVE", multiLine=multi_line)
     return df.select([F.col(f"`{c}`") if c in header else F.lit(None).cast(kinds[c]).alias(c) for c in columns or [f.name for f in schema.fields]])
 
 

@@ -8,8 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.plans import files
 from millrace.sources import comparison, python_code, readers, writers
 from millrace.streaming import incremental
+from tests.oracle import connection
 
 
 def test_csv_by_name(spark, tmp_path):
@@ -21,6 +23,17 @@ def test_csv_by_name(spark, tmp_path):
     assert readers.optional_parquet(spark, str(tmp_path / "none.parquet")) is None
 
 
+def test_csv_texts_and_numbers_return(spark, tmp_path):
+    """Line breaks, quotes and escapes in texts, and numbers that aren't finite, are the same as by the query's SQL; NaN isn't null."""
+    texts = ["a\nb", "\r\n", "\r", 'x"\n"', "\\\n", '"', ',\\', ' a ', "", None]
+    numbers = [float("nan"), None, float("inf"), -0.0, 5e-324]
+    rows = [(i, t, t, "train", numbers[i % 5], numbers[i // 2 % 5]) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "reading_id long, deviceId string, timedate string, period string, x2 double, t4 double").write.parquet(str(tmp_path / "device_data.parquet"))
+    got = files.C.queries["src_csv"](spark, str(tmp_path)).collect()
+    want = connection(str(tmp_path)).sql(files.C.sql["src_csv"]).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_json_lines(spark, tmp_path):
     p = tmp_path / "t.jsonl"
     p.write_text('{"id": "x", "prefix": "a"}\n\n{"repo": "r", "modified": ["m"]}\n')

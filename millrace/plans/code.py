@@ -174,9 +174,9 @@ HASHED = f"""e AS (SELECT entity_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION
 
 
 def _hashed(spark, d):
-    docs = retrieval.dense_vectors(retrieval.hashed_embedding(_corpus(spark, d), "entity_id", F.col("t")), "entity_id")
-    asked = retrieval.dense_vectors(retrieval.hashed_embedding(_asked(spark, d), "query_id", F.col("t")), "query_id")
-    return retrieval.dense_top(docs, "entity_id", "vector", asked, "query_id", "vector", 20)
+    docs = retrieval.sparse_units(retrieval.hashed_embedding(_corpus(spark, d), "entity_id", F.col("t")), "entity_id")
+    asked = retrieval.sparse_units(retrieval.hashed_embedding(_asked(spark, d), "query_id", F.col("t")), "query_id")
+    return retrieval.sparse_top(docs, "entity_id", asked, "query_id", 20, positive=False)
 
 
 @C.add(BM25.replace("RECURSIVE dummy AS (SELECT 1), ", "") + f", {HASHED} SELECT query_id, entity_id, round(score, 6) AS score FROM y WHERE place < 20")

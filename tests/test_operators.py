@@ -196,6 +196,24 @@ def test_bm25_shuffles_no_pairs(spark):
         assert [r.id for r in sorted((r for r in got if r.q == i), key=lambda r: r.place)] == want
 
 
+@pytest.mark.parametrize("positive", [True, False])
+def test_sparse_top_against_full_products(spark, positive):
+    """Blocks of queries, several batches of rows, ties, rows that share nothing and rows without weights."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, (2_600, 12)) * (rng.random((2_600, 12)) < 0.3)
+    x[7] = 0
+    q = x[rng.choice(2_600, 30, replace=False)]
+    q[0, :] = 0
+    q[0, 11], x[:, 11] = 1, 0
+    side = lambda m, name: spark.createDataFrame([(i, np.nonzero(v)[0].tolist(), v[v > 0].astype(float).tolist()) for i, v in enumerate(m)], f"{name} long, ids array<long>, weights array<double>")
+    got = retrieval.sparse_top(side(x, "k"), "k", side(q, "q"), "q", 4, positive=positive, block=50).collect()
+    held = np.nonzero(x.sum(axis=1))[0]
+    for i in range(30):
+        score = x[held] @ q[i]
+        want = [int(k) for k in held[np.lexsort((held, -score))] if q[i].any() and (not positive or x[k] @ q[i] > 0)][:4]
+        assert [r.k for r in sorted((r for r in got if r.q == i), key=lambda r: r.place)] == want
+
+
 def test_dense_top_in_blocks(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 8)).round(3)

@@ -227,6 +227,13 @@ def test_dense_top_in_blocks(spark):
     assert retrieval.dense_top(df, "id", "v", q.limit(0), "q", "v", 5).count() == 0
 
 
+def test_hybrid_search_joins_no_pairs(spark, small):
+    from millrace.plans import code
+
+    plan = code.ret_rrf_hybrid(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan.split("MapInArrow")[0]
+
+
 def test_fusion_sides(spark):
     a = spark.createDataFrame([("q", 1, 0), ("q", 2, 1)], "q string, id int, place int")
     b = spark.createDataFrame([("q", 3, 0), ("q", 2, 1)], "q string, id int, place int")

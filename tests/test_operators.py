@@ -214,6 +214,22 @@ def test_sparse_top_against_full_products(spark, positive):
         assert [r.k for r in sorted((r for r in got if r.q == i), key=lambda r: r.place)] == want
 
 
+def test_bm25_of_repositories_shuffles_no_pairs(spark):
+    """As contexts are searched: each repository for itself, in which all share a term."""
+    rng = np.random.default_rng(5)
+    docs = [(f"{r}{i}", r, ["common", *rng.choice(["a", "b", "c"], 2).tolist()]) for r in "xyz" for i in range(20)]
+    df = spark.createDataFrame(docs, "id string, repo string, t array<string>")
+    q = spark.createDataFrame([(i, "xyz"[i % 3], ["common", "a"]) for i in range(9)], "task long, repo string, t array<string>")
+    ranked = retrieval.bm25(df, "id", F.col("t"), q, "task", F.col("t"), 4, by=["repo"])
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("MapInArrow")]
+    got = ranked.collect()
+    listed = lambda rows, task: [(r.id, round(r.score, 9)) for r in sorted((r for r in rows if r.task == task), key=lambda r: r.place)]
+    for k, repo in enumerate("xyz"):
+        alone = retrieval.bm25(df.where(F.col("repo") == repo), "id", F.col("t"), q.where(F.col("task") == k), "task", F.col("t"), 4).collect()
+        assert listed(alone, k) == listed(got, k) == listed(got, k + 3) == listed(got, k + 6) and len(alone) == 4
+
+
 def test_dense_top_in_blocks(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 8)).round(3)

@@ -197,6 +197,25 @@ def test_folds_see_no_model_of_their_own(spark, tmp_path):
     assert isinstance(classification.load(f"file://{tmp_path}/m"), GBTClassificationModel)
 
 
+def test_trees_are_fitted_on_counts_of_like_rows(spark, monkeypatch):
+    """5,000 rows of nine combinations: a model sees a row a combination, label and fold, with all their weight; rare values stay apart."""
+    rng = np.random.RandomState(7)
+    rows = [(i, float(a), float(b), int(a == 2 or rng.rand() < 0.1)) for i, (a, b) in enumerate(zip(rng.choice([0, 1, 2], 5_000, p=[0.6, 0.397, 0.003]), rng.randint(0, 3, 5_000), strict=True))]
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(rows, "item long, a double, b double, yes int"))
+    seen, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, data: seen.append(data.agg(F.count("*"), F.sum(F.when(F.col("__y") == 0, F.col("__w")))).first()) or fit(self, data))
+    held, tested = classification.boosted_folds(df, df, ["yes"], item="item", folds=2, trees=5, depth=2)
+    assert len(seen) == 2 and all(n <= 9 * 2 * 2 and w == sum(y == 0 for *_, y in rows) for n, w in seen)
+    p = {r.item: r.p for r in held.collect()}
+    assert len(p) == tested.count() == 5_000 and min(p[i] for i, a, _, _ in rows if a == 2) > max(p[i] for i, a, _, _ in rows if a != 2)
+
+
+def test_cut_points(spark):
+    x = np.stack([np.arange(1_000) % 4, np.arange(1_000)], axis=1).astype(float)
+    few, many = classification.cut_points(spark.createDataFrame([(v.tolist(),) for v in x], "features array<double>").repartition(3))
+    assert few.tolist() == [0.5, 1.5, 2.5] and len(many) == 31 and np.bincount(np.searchsorted(many, x[:, 1], side="left")).max() < 40
+
+
 def test_labels_agree_with_the_hierarchy(spark):
     held = spark.createDataFrame([(i, "child", int(i > 5), i / 10) for i in range(10)], "item long, cls string, y int, p double")
     tested = spark.createDataFrame([(1, "child", 0.9), (1, "parent", 0.1), (2, "child", 0.1), (2, "parent", 0.3)], "item long, cls string, p double")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from millrace.operators import multilabel, ontology
+from millrace.operators import multilabel
 from millrace.operators.ontology import closure
 from millrace.plans.shared import written
 
@@ -128,12 +128,19 @@ def agreeing_labels(held: DataFrame, tested: DataFrame, edges: DataFrame, *, def
     Probabilities, then labels, are raised to the largest of a class's descendants in edges (child, parent). Classes that have no
     probability for an item get their descendants'; classes without out-of-fold rows are labelled at ``default``.
     """
-    closed = closure(edges)
-    raised = ontology.consistent(tested, closed, node="cls", score="p")
+    over = closure(edges).groupBy(F.col("descendant").alias("__c")).agg(F.collect_list("ancestor").alias("__up"))
+
+    def risen(rows: DataFrame) -> DataFrame:
+        """rows once for their class and once for each above it, from one scan; __own: whether it is their class."""
+        all_ = F.concat(F.array(F.lit(None).cast("string")), F.coalesce("__up", F.array().cast("array<string>")))
+        each = rows.join(over, F.col("cls") == F.col("__c"), "left").withColumn("__a", F.explode(all_)).drop("__c", "__up")
+        return each.withColumn("__own", F.col("__a").isNull()).withColumn("cls", F.coalesce("__a", "cls")).drop("__a")
+
+    raised = risen(tested.select("item", "cls", "p")).groupBy("item", "cls").agg(F.max("p").alias("p"))
     best = multilabel.best_thresholds(held, default=default).select(F.col("cls").alias("__c"), "threshold")
     own = raised.join(best, F.col("cls") == F.col("__c"), "left").select("item", "cls", "p", (F.col("p") >= F.coalesce("threshold", F.lit(default))).cast("int").alias("label"))
-    labels = ontology.consistent(own, closed, node="cls", score="label").withColumnsRenamed({"item": "__i", "cls": "__k"})
-    return own.drop("label").join(labels, (F.col("item") == F.col("__i")) & (F.col("cls") == F.col("__k"))).select("item", "cls", "p", "label")
+    # A class above has a row of its own by now, so one aggregate has both its probability and all labels below it.
+    return risen(own).groupBy("item", "cls").agg(F.max(F.when(F.col("__own"), F.col("p"))).alias("p"), F.max("label").alias("label"))
 
 
 def save(model, path: str) -> None:

@@ -6,7 +6,6 @@ from millrace.operators import classification
 from millrace.operators import multilabel as ml
 from millrace.operators import ontology as onto
 from millrace.plans.catalogue import Catalogue
-from millrace.plans.shared import written
 from millrace.plans.tables import table
 
 C = Catalogue()
@@ -176,5 +175,4 @@ def ml_pipeline(spark, d):
     """From features to labels that agree with the hierarchy; what is labelled are the orders' line items themselves."""
     rows = _returned(spark, d)
     held, tested = classification.boosted_folds(rows, rows.select("item", "features"), ["A", "N", "R", "back"], item="item")
-    held, tested = written(held, "pipeline-held"), written(tested, "pipeline-tested")
     return classification.agreeing_labels(held, tested, _over(spark))

@@ -216,6 +216,15 @@ def test_cut_points(spark):
     assert few.tolist() == [0.5, 1.5, 2.5] and len(many) == 31 and np.bincount(np.searchsorted(many, x[:, 1], side="left")).max() < 40
 
 
+def test_labels_from_one_scan(spark):
+    """Probabilities are read once, however many classes are above, and no items are joined."""
+    held = spark.createDataFrame([(i, "c", int(i > 5), i / 10) for i in range(10)], "item long, cls string, y int, p double")
+    tested = spark.range(50).select(F.col("id").alias("item"), F.lit("c").alias("cls"), (F.col("id") / 50).alias("p"))
+    labels = classification.agreeing_labels(held, tested, spark.createDataFrame([("c", "d"), ("d", "e"), ("c", "e")], "child string, parent string"))
+    assert labels._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 50") == 1
+    assert {(r.item, r.cls): (r.p, r.label) for r in labels.collect()} == {(i, c): (i / 50, int(i / 50 >= (0.51 if c == "c" else 0.5))) for i in range(50) for c in "cde"}
+
+
 def test_labels_agree_with_the_hierarchy(spark):
     held = spark.createDataFrame([(i, "child", int(i > 5), i / 10) for i in range(10)], "item long, cls string, y int, p double")
     tested = spark.createDataFrame([(1, "child", 0.9), (1, "parent", 0.1), (2, "child", 0.1), (2, "parent", 0.3)], "item long, cls string, p double")

@@ -1,10 +1,18 @@
 """Hierarchies as edge tables (child, parent): closure, levels, scores made consistent with the hierarchy."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from millrace.plans.shared import written
 
+SENT = 4_000_000  # edges that are sent to all executors
+AT_ONCE = 20_000  # scores that are raised at one time
+
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges whose ends are both nodes (node), each once; null ends are dropped."""
@@ -66,6 +74,88 @@ def consistent(scores: DataFrame, closed: DataFrame, *, item: str = "item", node
     return scores.select(item, node, score).unionByName(up).groupBy(item, node).agg(F.max(score).alias(score))
 
 
+def consistent_along(scores: DataFrame, edges: DataFrame, *, most: int = 100_000, item: str = "item", node: str = "node", score: str = "score") -> DataFrame:
+    """As ``consistent`` with the closure of edges (child, parent), without a shuffle of the raised scores: only scores are grouped by item.
+
+    Each task walks up the edges, which are sent to all executors, for some items at a time. For more than SENT edges, nodes
+    that aren't longs or scores that aren't doubles, and for items of more than ``most`` scores, the closure is joined instead.
+    """
+    edges = edges.select("child", "parent").where("child is not null and parent is not null").distinct()
+    scores = scores.select(item, node, score)
+    typed = isinstance(scores.schema[node].dataType, LongType) and isinstance(scores.schema[score].dataType, DoubleType)
+    pairs = edges.select(F.col("child").cast("long"), F.col("parent").cast("long")).limit(SENT + 1).toArrow() if typed else None
+    if pairs is None or pairs.num_rows > SENT:
+        return consistent(scores, closure(edges), item=item, node=node, score=score)
+    child, parent = (pairs[c].to_numpy().astype(np.int64) for c in ("child", "parent"))
+    order = np.argsort(child, kind="stable")
+    shared = scores.sparkSession.sparkContext.broadcast((child[order], parent[order]))
+
+    def raised(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        child, parent = shared.value
+        codes = t[item].combine_chunks().dictionary_encode("encode")
+        of = codes.indices.to_numpy()
+        nodes = np.unique(np.concatenate([t[node].to_numpy(), parent]))
+        key = of.astype(np.int64) * len(nodes) + np.searchsorted(nodes, t[node].to_numpy())
+        value = np.where(t[score].is_null().to_numpy(), -np.inf, t[score].to_numpy(zero_copy_only=False))
+
+        def largest(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            o = np.lexsort((value, key))
+            key, value = key[o], value[o]
+            last = np.concatenate([key[1:] != key[:-1], [True]])
+            return key[last], value[last]
+
+        key, value = largest(key, value)
+        new, new_value = key, value
+        while len(new):
+            own = nodes[new % len(nodes)]
+            first, n = np.searchsorted(child, own, "left"), np.searchsorted(child, own, "right")
+            n -= first
+            ends = np.cumsum(n)
+            if not ends[-1]:
+                break
+            up = parent[np.arange(ends[-1]) - np.repeat(ends - n - first, n)]
+            new, new_value = largest(np.repeat(new // len(nodes) * len(nodes), n) + np.searchsorted(nodes, up), np.repeat(new_value, n))
+            # Only what betters a score, or is new, goes on; so cycles end.
+            at = np.minimum(np.searchsorted(key, new), len(key) - 1)
+            known = key[at] == new
+            better = ~known | (new_value > value[at]) | (np.isnan(new_value) & ~np.isnan(value[at]))
+            value[at[known & better]] = new_value[known & better]
+            fresh = ~known
+            where = np.searchsorted(key, new[fresh])
+            key, value = np.insert(key, where, new[fresh]), np.insert(value, where, new_value[fresh])
+            new, new_value = new[better], new_value[better]
+        items = codes.dictionary.take(pa.array(key // len(nodes)))
+        out = pa.table({item: items, node: nodes[key % len(nodes)], score: pa.array(value, mask=np.isneginf(value))})
+        yield from out.to_batches(100_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= AT_ONCE:
+                t = pa.Table.from_batches(held)
+                of = t[item].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+                change = np.nonzero(of[1:] != of[:-1])[0]
+                if len(change):
+                    cut = int(change[-1]) + 1
+                    yield from raised(t.slice(0, cut))
+                    held, rows = t.slice(cut).to_batches(), t.num_rows - cut
+        if rows:
+            yield from raised(pa.Table.from_batches(held))
+
+    given = scores.where(F.col(node).isNotNull())
+    large = written(given.groupBy(item).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(F.col(item).alias("__i")), "large-items")
+    some = not large.isEmpty()
+    small = given.join(large, F.col(item).eqNullSafe(F.col("__i")), "left_anti") if some else given
+    out = small.repartition(F.col(item)).sortWithinPartitions(item).mapInArrow(run, scores.schema)
+    out = out.unionByName(scores.where(F.col(node).isNull()).groupBy(item, node).agg(F.max(score).alias(score)))
+    if some:
+        out = out.unionByName(consistent(given.join(large, F.col(item).eqNullSafe(F.col("__i")), "left_semi"), closure(edges), item=item, node=node, score=score))
+    return out
+
+
 def inconsistencies(labels: DataFrame, edges: DataFrame, *, item: str = "item", node: str = "node", label: str = "label") -> DataFrame:
     """One row (n): how often a child is labelled 1 for an item whose parent is labelled 0."""
     child = labels.where(F.col(label) == 1).select(item, F.col(node).alias("child"))

@@ -51,7 +51,7 @@ def _scores(spark, d):
 @C.add(CLOSED + f""", p AS (SELECT DISTINCT ancestor, descendant FROM c), s AS {SCORES},
  u AS (SELECT * FROM s UNION ALL SELECT s.item, p.ancestor, s.score FROM s JOIN p ON s.node = p.descendant) SELECT item, node, max(score) AS score FROM u GROUP BY 1, 2""")
 def onto_enforce_max(spark, d):
-    return onto.consistent(_scores(spark, d), onto.closure(_edges(spark, d)))
+    return onto.consistent_along(_scores(spark, d), _edges(spark, d))
 
 
 @C.add(f"""WITH e AS ({EDGES}), s AS {SCORES}, l AS MATERIALIZED (SELECT item, node, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS label FROM s),

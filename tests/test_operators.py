@@ -159,6 +159,22 @@ def test_profile_and_gate(spark):
     assert "snake_case" in style.profile(df.where("repo = 'r'"), []).select(style.instruction().alias("s")).first().s
 
 
+@pytest.mark.parametrize("most", [1_000, 3])
+def test_scores_raised_along_edges(spark, most):
+    """Cycles, null items, nodes and scores, NaN, nodes without edges; items too large for a task by the closure."""
+    rng = np.random.default_rng(6)
+    edges = spark.createDataFrame([(n, n // d) for n in range(1, 60) for d in (2, 3)] + [(100, 101), (101, 100)], "child long, parent long")
+    rows = [(int(i) if i else None, int(n), float(s)) for i, n, s in zip(rng.integers(0, 9, 40), rng.integers(0, 60, 40), rng.random(40), strict=True)]
+    rows += [(1, 100, 0.5), (1, None, 0.3), (2, 999, 0.1), (3, 50, None), (4, 51, float("nan")), (5, 7, -1.0)]
+    scores = spark.createDataFrame(rows, "item long, node long, score double")
+    got = ontology.consistent_along(scores, edges, most=most)
+    want = ontology.consistent(scores, ontology.closure(edges))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    if most > 3:
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan.split("MapInArrow")[0] and "MapInArrow" in plan
+
+
 def test_bm25_by_hand(spark):
     docs = [["python", "code", "code"], ["java", "code"], ["python", "python", "tutorial"], []]
     df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id int, t array<string>")
